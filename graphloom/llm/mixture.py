@@ -48,12 +48,18 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["doc_id", "source", "n_tokens", "pid", "at"]]
 
 
-def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
+#: Evenly spaced turns of a source's random offset, of which the one that comes nearest to the target is taken.
+OFFSETS = 32
+
+
+def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int = OFFSETS) -> DataFrame:
     """doc_id, source, n_tokens and n_copies (0 or more) of every document with tokens.
 
     Within a source the expected copies are summed along the documents in order of size (ties by a hash of seed and
     id), shifted by one random offset of the source, and a document gets one copy for each integer that its step
-    crosses. As neighbours have nearly equal sizes, the tokens reached differ from the target by about one document.
+    crosses. Neighbours have nearly equal sizes, so the tokens reached differ from the target by few documents; of
+    ``turns`` evenly spaced turns of the offset the one with the least difference is taken (the mean over all
+    offsets is exactly the target). ``turns=1`` takes the offset as it falls.
     The running sum is distributed: documents are range-partitioned by (source, size), numbered within partitions,
     and the partitions' counts (one row per partition and source) are summed ahead of each.
     """
@@ -66,13 +72,23 @@ def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame
     ).withColumn("pid", F.spark_partition_id())
     before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("source", "pid").count().select("source", "pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    schema = f"doc_id long, source string, n_tokens long, pid int, at long"
+    schema = "doc_id long, source string, n_tokens long, pid int, at long"
     numbered = placed.select("doc_id", "source", "n_tokens", "pid").mapInPandas(_numbered, schema)
     shift = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    joined = join_lookup(join_lookup(numbered, offsets, ["source", "pid"]), plan.select("source", "copies"), ["source"])
-    k = (F.col("at") + F.col("ahead")).cast("double")
-    crossed = F.floor((k + 1) * F.col("copies") + shift) - F.floor(k * F.col("copies") + shift)
-    return joined.select("doc_id", "source", "n_tokens", crossed.cast("int").alias("n_copies"))
+    joined = join_lookup(join_lookup(numbered, offsets, ["source", "pid"]), plan.select("source", "copies", "available_tokens"), ["source"])
+    steps = cut(joined.select("doc_id", "source", "n_tokens", "copies", "available_tokens", (F.col("at") + F.col("ahead")).cast("double").alias("k")))
+
+    def crossed(offset):
+        return (F.floor((F.col("k") + 1) * F.col("copies") + offset) - F.floor(F.col("k") * F.col("copies") + offset)).cast("int")
+
+    turned = [(shift + j / turns) % 1.0 for j in range(turns)]
+    reached = steps.groupBy("source").agg(
+        F.max(F.col("copies") * F.col("available_tokens")).alias("target"),
+        *[F.sum(F.col("n_tokens") * crossed(o)).cast("double").alias(f"t{j}") for j, o in enumerate(turned)],
+    )
+    options = F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("off"), F.lit(j).alias("j"), o.alias("offset")) for j, o in enumerate(turned)])
+    best = cut(reached.select("source", F.array_min(options)["offset"].alias("offset")))
+    return join_lookup(steps, best, ["source"]).select("doc_id", "source", "n_tokens", crossed(F.col("offset")).alias("n_copies"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 1) -> DataFrame:
