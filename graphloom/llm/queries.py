@@ -8,9 +8,23 @@ from ..session import table
 from .dress import collapsed, lesson_runs
 from .encode import encode_corpus
 from .mixture import mixture, reached_shares
+from .secrets import credential_rows, searched_rows
 from .split import split_documents
 
 
+def _credentials(spark, d):
+    rows = searched_rows(table(spark, d, "connections"), table(spark, d, "llm_calls"), table(spark, d, "prompts"))
+    return credential_rows(rows, ["table_name", "seq"])
+
+
+def p1_found(spark, d):
+    return _credentials(spark, d).select("table_name", "seq")
+
+
+def p1_masked(spark, d):
+    return _credentials(spark, d).select("table_name", "seq", F.size("span_starts").alias("credentials"), "masked_text")
+
+
 def p5_found(spark, d):
     return lesson_runs(table(spark, d, "lessons")).where("first_seq <> seq")
 
@@ -40,7 +54,7 @@ def p9_summary(spark, d):
     return pieces.groupBy("doc_kind", "cut_at").agg(F.count(F.lit(1)).alias("pieces"), F.max("n_tokens").alias("most_tokens"), F.sum("n_tokens").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_lessons, p7_ids, p8_mixture, p8_shares, p9_pieces, p9_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p5_found, p5_lessons, p7_ids, p8_mixture, p8_shares, p9_pieces, p9_summary)}
 
 _LESSONS = r"""
 WITH keyed AS (
