@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .dress import collapsed, lesson_runs
 from .encode import encode_corpus
+from .handwritten import file_evidence, group_counts
 from .mixture import mixture, reached_shares
 from .secrets import credential_rows, searched_rows
 from .split import split_documents
@@ -25,6 +26,18 @@ def p1_masked(spark, d):
     return _credentials(spark, d).select("table_name", "seq", F.size("span_starts").alias("credentials"), "masked_text")
 
 
+def p2_found(spark, d):
+    return p2_evidence(spark, d).where("machine_made").select("file_id")
+
+
+def p2_evidence(spark, d):
+    return file_evidence(table(spark, d, "source_files"), table(spark, d, "package_files"))
+
+
+def p2_groups(spark, d):
+    return group_counts(table(spark, d, "partition_groups"), table(spark, d, "source_files"), p2_evidence(spark, d))
+
+
 def p5_found(spark, d):
     return lesson_runs(table(spark, d, "lessons")).where("first_seq <> seq")
 
@@ -54,7 +67,7 @@ def p9_summary(spark, d):
     return pieces.groupBy("doc_kind", "cut_at").agg(F.count(F.lit(1)).alias("pieces"), F.max("n_tokens").alias("most_tokens"), F.sum("n_tokens").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p5_found, p5_lessons, p7_ids, p8_mixture, p8_shares, p9_pieces, p9_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_evidence, p2_groups, p5_found, p5_lessons, p7_ids, p8_mixture, p8_shares, p9_pieces, p9_summary)}
 
 _LESSONS = r"""
 WITH keyed AS (
