@@ -14,8 +14,10 @@ _FIELD, _ENTRY, _NULL = "\x01", "\x02", "\x03"
 
 
 def canonical_text(text: Column) -> Column:
-    """Letters and decimal digits only, without regard to case (upper, then lower, so that ß equals SS and ς equals σ)."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", "")))
+    """Letters and decimal digits only, without regard to case: lower case, with the letters whose upper case is that
+    of others written as those (ß as ss, final sigma as sigma, long s as s)."""
+    low = F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", ""))
+    return F.replace(F.translate(low, "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def canonical_lesson(category: Column, pattern: Column, signature: Column) -> Column:

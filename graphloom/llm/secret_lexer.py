@@ -114,7 +114,7 @@ def kind_of(t: str) -> str:
         return "version" if VERSIONS.match(t) else "number"
     if VERSIONS.match(t):
         return "version"
-    if FILLER.match(t) and (len(t) < 12 or not PREFIXES.match(t)) and class_changes(t) <= 4:
+    if FILLER.match(t) and (len(t) < 12 or not PREFIXES.match(t)) and class_changes(regex.sub(r"[-_. ]", "", t)) <= 2:
         low = subwords(t)
         if len(low) > 1 or t.lower() in FILLER_WORDS or regex.match(r"(?i)^(.)\1{3,}$", t):
             return "filler"
