@@ -318,7 +318,12 @@ def infrastructure(source_files: DataFrame) -> DataFrame:
 def npm_manifest(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Packages of package.json texts: key, package, version (prefix cut), scope (core, dev). A package in both lists gives two rows; malformed texts none."""
     parsed = F.from_json(F.col(text), "dependencies map<string,string>, devDependencies map<string,string>", {"mode": "PERMISSIVE"})
-    lists = F.concat(*[F.transform(F.coalesce(F.map_entries(parsed[c]), F.array().cast("array<struct<key:string,value:string>>")), lambda e, s=s: F.struct(e["key"].alias("package"), F.regexp_replace(e["value"], r"^[\^~>=<\s]+", "").alias("version"), F.lit(s).alias("scope"))) for c, s in (("dependencies", "core"), ("devDependencies", "dev"))])
+
+    def listed(part: str, scope: str) -> Column:
+        entries = F.coalesce(F.map_entries(parsed[part]), F.array().cast("array<struct<key:string,value:string>>"))
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("package"), F.regexp_replace(e["value"], r"^[\^~>=<\s]+", "").alias("version"), F.lit(scope).alias("scope")))
+
+    lists = F.concat(listed("dependencies", "core"), listed("devDependencies", "dev"))
     return rows.where(F.col(text).isNotNull()).select(key, F.explode(lists).alias("p")).select(key, "p.package", "p.version", "p.scope")
 
 
