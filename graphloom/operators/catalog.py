@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .graph_views import clean_path
+from .graph_views import clean_path, trimmed
 
 #: Base name rules of aliases.
 BASE_NAME_RULES = ((r"\s*config([^A-Za-z0-9_].*)?$", ""), (r"\s*\(.*\)$", ""), (r"[@/].*", ""))
@@ -27,7 +27,7 @@ def base_name(name: Column) -> Column:
     out = F.lower(name)
     for pattern, by in BASE_NAME_RULES:
         out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return trimmed(out)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def search_lessons(lessons: DataFrame, pattern: str, category: str | None = None
 
 def recurring_lessons(lessons: DataFrame, projects: int = 3) -> DataFrame:
     """Patterns that occur in at least ``projects`` distinct projects: pattern, category, projects, lessons."""
-    return lessons.where("pattern is not null").groupBy(F.lower(F.trim("pattern")).alias("pattern"), "category").agg(F.countDistinct("project").alias("projects"), F.count(F.lit(1)).alias("lessons")).where(F.col("projects") >= projects)
+    return lessons.where("pattern is not null").groupBy(F.lower(trimmed(F.col("pattern"))).alias("pattern"), "category").agg(F.countDistinct("project").alias("projects"), F.count(F.lit(1)).alias("lessons")).where(F.col("projects") >= projects)
 
 
 def repo_listing(nodes: DataFrame, edges: DataFrame, as_of: str, stale_hours: int = 24) -> DataFrame:

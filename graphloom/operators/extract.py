@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .graph_views import clean_path
+from .graph_views import clean_path, trimmed
 
 #: Import statements by kind, in order of precedence; group 1 is the target.
 IMPORTS = (
@@ -63,11 +63,6 @@ INFRASTRUCTURE = (("railway", r"(^|/)railway\.(toml|json)$"), ("vercel", r"(^|/)
 SCHEDULES = {"* * * * *": "Every minute", "*/5 * * * *": "Every 5 minutes", "*/10 * * * *": "Every 10 minutes", "*/15 * * * *": "Every 15 minutes", "*/30 * * * *": "Every 30 minutes", "0 * * * *": "Every hour", "0 0 * * *": "Daily at midnight", "0 0 * * 0": "Weekly on Sunday", "0 0 1 * *": "Monthly on the 1st"}
 
 
-def trimmed(text: Column) -> Column:
-    """Without white space of any script at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def newest_files(source_files: DataFrame) -> DataFrame:
     """The newest scan of each file: repo, file, file_id, code_lang, content. Rows without file are left out."""
     row = F.struct("file_id", "code_lang", "content")

@@ -36,6 +36,11 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/"), r"^(\./)+|^/", "")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at its ends (line ends and tabs included)."""
+    return F.regexp_replace(text, r"^[\t\n\f\r\p{Z}]+|[\t\n\f\r\p{Z}]+$", "")
+
+
 def ends(edges: DataFrame, nodes: DataFrame, prefix_from: str = "from_", prefix_to: str = "to_", columns: tuple[str, ...] = ("name", "component_type", "layer")) -> DataFrame:
     """Edges with the attributes of both ends (left joins; an unknown end has nulls). Hubs are split by AQE."""
     a = nodes.select(F.col("component_id").alias("__a"), *[F.col(c).alias(prefix_from + c) for c in columns])
@@ -51,3 +56,7 @@ SQL_GRAPH = f"WITH {SQL_NODES},\n{SQL_EDGES}"
 
 def sql_clean_path(path: str) -> str:
     return rf"regexp_replace(regexp_replace(replace({path}, '\', '/'), '/+', '/', 'g'), '^(\./)+|^/', '')"
+
+
+def sql_trimmed(text: str) -> str:
+    return rf"regexp_replace({text}, '^[\t\n\f\r\p{{Z}}]+|[\t\n\f\r\p{{Z}}]+$', '', 'g')"

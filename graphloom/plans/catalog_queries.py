@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as c
-from ..operators.graph_views import SQL_EDGES, SQL_GRAPH, SQL_NODES, clean_path, edges, ends, nodes, sql_clean_path
+from ..operators.graph_views import SQL_EDGES, SQL_GRAPH, SQL_NODES, clean_path, edges, ends, nodes, sql_clean_path, sql_trimmed, trimmed
 from ..session import table
 
 AS_OF = "2026-01-01 00:00:00"
@@ -144,7 +144,7 @@ def lesson_search(spark, d):
 
 def lesson_categories(spark, d):
     rows = table(spark, d, "lessons").where("category is not null")
-    return rows.groupBy(F.lower(F.trim("category")).alias("category")).agg(F.count(F.lit(1)).alias("lessons"), F.count_if("promoted").alias("promoted"), F.sum("occurrences").alias("occurrences"))
+    return rows.groupBy(F.lower(trimmed(F.col("category"))).alias("category")).agg(F.count(F.lit(1)).alias("lessons"), F.count_if("promoted").alias("promoted"), F.sum("occurrences").alias("occurrences"))
 
 
 def lesson_promotions(spark, d):
@@ -170,7 +170,7 @@ QUERIES = {
     )
 }
 
-_BASE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\s*config([^A-Za-z0-9_].*)?$', '', 'g'), '\s*\(.*\)$', '', 'g'), '[@/].*', '', 'g'))"
+_BASE = sql_trimmed(r"regexp_replace(regexp_replace(regexp_replace(lower(<>), '\s*config([^A-Za-z0-9_].*)?$', '', 'g'), '\s*\(.*\)$', '', 'g'), '[@/].*', '', 'g')")
 _DEGREES = f"""{SQL_GRAPH},
 deg AS (
   SELECT n.*, coalesce(i.c, 0) AS incoming, coalesce(o.c, 0) AS outgoing FROM nodes n
@@ -233,11 +233,11 @@ SQL = {
     + f""", q AS (SELECT unnest([{_list(QUERIES_TO_RESOLVE)}]) AS query),
       m AS (SELECT q.query, d.component_id, d.seq, d.incoming + d.outgoing AS n, length(d.name) AS l,
         CASE WHEN q.query = d.component_id THEN 1 WHEN lower(q.query) = lower(d.name) THEN 2 WHEN lower(q.query) = lower({sql_clean_path('d.file')}) THEN 3
-          WHEN contains(lower(d.name), lower(q.query)) THEN 4 WHEN {_BASE.format('d.name')} = {_BASE.format('q.query')} THEN 5 WHEN contains(lower({sql_clean_path('d.file')}), lower(q.query)) THEN 6 END AS step
+          WHEN contains(lower(d.name), lower(q.query)) THEN 4 WHEN {_BASE.replace('<>', 'd.name')} = {_BASE.replace('<>', 'q.query')} THEN 5 WHEN contains(lower({sql_clean_path('d.file')}), lower(q.query)) THEN 6 END AS step
         FROM q, deg d)
       SELECT query, component_id, step FROM m WHERE step IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY query ORDER BY step, CASE WHEN step IN (1, 4, 5) THEN -n ELSE 0 END, CASE WHEN step = 4 THEN l ELSE 0 END, seq) = 1""",
-    "alias_groups": _DEGREES + f"SELECT base, component_type, arg_max(component_id, {{'n': incoming + outgoing, 's': -seq}}) AS component_id, count(*) AS members FROM (SELECT *, {_BASE.format('name')} AS base FROM deg) GROUP BY base, component_type",
+    "alias_groups": _DEGREES + f"SELECT base, component_type, arg_max(component_id, {{'n': incoming + outgoing, 's': -seq}}) AS component_id, count(*) AS members FROM (SELECT *, {_BASE.replace('<>', 'name')} AS base FROM deg) GROUP BY base, component_type",
     "bounded_listing": f"WITH {SQL_EDGES} SELECT count(*) AS total, least(count(*), 50) AS returned, count(*) > 50 AS truncated, 50 AS \"limit\" FROM edges WHERE confidence < 0.5",
     "compact_connections": _NAMED + "SELECT connection_id, coalesce(from_name, '?') AS f, coalesce(to_name, '?') AS t, connection_type AS ct, confidence AS c FROM named",
     "resolved_edges": _NAMED + "SELECT from_component_type, to_component_type, connection_type, count(*) AS edges, count(DISTINCT from_id) AS sources FROM named WHERE from_name IS NOT NULL AND to_name IS NOT NULL GROUP BY ALL",
@@ -258,8 +258,8 @@ SQL = {
     "lesson_search": """SELECT seq, lesson_id, project, category, severity, promoted FROM lessons WHERE lower(severity) = 'critical' AND (
       coalesce(regexp_matches(pattern, '(?i)(webhook|quota).*session'), false) OR coalesce(regexp_matches(resolution, '(?i)(webhook|quota).*session'), false)
       OR coalesce(len(list_filter(signature, lambda x: regexp_matches(x, '(?i)(webhook|quota).*session'))) > 0, false))""",
-    "lesson_categories": "SELECT lower(trim(category)) AS category, count(*) AS lessons, count(*) FILTER (promoted) AS promoted, sum(occurrences) AS occurrences FROM lessons WHERE category IS NOT NULL GROUP BY 1",
-    "lesson_promotions": "SELECT lower(trim(pattern)) AS pattern, category, count(DISTINCT project) AS projects, count(*) AS lessons FROM lessons WHERE pattern IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT project) >= 3",
+    "lesson_categories": f"SELECT lower({sql_trimmed('category')}) AS category, count(*) AS lessons, count(*) FILTER (promoted) AS promoted, sum(occurrences) AS occurrences FROM lessons WHERE category IS NOT NULL GROUP BY 1",
+    "lesson_promotions": f"SELECT lower({sql_trimmed('pattern')}) AS pattern, category, count(DISTINCT project) AS projects, count(*) AS lessons FROM lessons WHERE pattern IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT project) >= 3",
     "repo_listing": f"""{SQL_GRAPH} SELECT n.repo, n.c AS components, coalesce(e.c, 0) AS connections, e.l AS last_detected, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(e.l)) / 3600000000) AS BIGINT) AS age_hours,
       coalesce(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(e.l)) / 3600000000) >= 24, false) AS stale
       FROM (SELECT repo, count(*) c FROM nodes GROUP BY 1) n LEFT JOIN (SELECT repo, count(*) c, max(detected_at) l FROM edges GROUP BY 1) e ON n.repo = e.repo""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract as x
-from ..operators.graph_views import sql_clean_path
+from ..operators.graph_views import sql_clean_path, sql_trimmed
 from ..session import table
 
 SCHEDULES = [*x.SCHEDULES, "15 3 * * *", "*/7 3 * * *", "*/20 * * * 1", "0 */6 * * 1", "0 9 1 1 *", "@daily"]
@@ -139,12 +139,13 @@ def _service(name: str, pattern: str, proof: str) -> str:
     return f"SELECT file_id, line, '{name}' AS service, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {conf})), 2) AS confidence FROM lines WHERE regexp_matches(text, {_q(pattern)}) AND NOT ({dead})"
 
 
-_WIKI = "regexp_replace(regexp_replace(trim(regexp_extract({0}, '^([^|#]*)', 1)), '^\\./', ''), '(?i)\\.md$', '')"
-_MD = "CASE WHEN regexp_matches(trim({0}), '^(#|//|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL ELSE trim(regexp_extract(trim({0}), '^<?([^#?>\\s]*)', 1)) END"
+_WIKI = lambda v: "regexp_replace(regexp_replace(" + sql_trimmed(f"regexp_extract({v}, '^([^|#]*)', 1)") + ", '^\\./', ''), '(?i)\\.md$', '')"
+_MD = lambda v: f"CASE WHEN regexp_matches({sql_trimmed(v)}, '^(#|//|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL ELSE " + sql_trimmed(f"regexp_extract({sql_trimmed(v)}, '^<?([^#?>\\s]*)', 1)") + " END"
+_UNQUOTED = "regexp_replace(" + sql_trimmed("v") + ", '^[\"\'\']|[\"\'\']$', '', 'g')"
 _RELATIONS = f"""r AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_extract(text, '^---\\r?\\n([\\s\\S]*?)\\r?\\n---', 1), '\\r?\\n')) AS l FROM documents WHERE regexp_extract(text, '^---\\r?\\n([\\s\\S]*?)\\r?\\n---', 1) <> ''),
   f AS (SELECT doc_id, lower(regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_-]*):\\s*(.*)$', 1)) AS field, regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_-]*):\\s*(.*)$', 2) AS v FROM r),
-  v AS (SELECT doc_id, field, unnest(string_split(regexp_replace(trim(v), '^\\[|\\]$', '', 'g'), ',')) AS v FROM f WHERE field IN ({_IN(x.RELATIONS)})),
-  relations AS (SELECT DISTINCT doc_id, field, {_WIKI.format(chr(114) + "egexp_replace(trim(v), '^[\"'']|[\"'']$', '', 'g')")} AS target FROM v WHERE {_WIKI.format("regexp_replace(trim(v), '^[\"'']|[\"'']$', '', 'g')")} <> '')"""
+  v AS (SELECT doc_id, field, unnest(string_split(regexp_replace({sql_trimmed('v')}, '^\\[|\\]$', '', 'g'), ',')) AS v FROM f WHERE field IN ({_IN(x.RELATIONS)})),
+  relations AS (SELECT DISTINCT doc_id, field, {_WIKI(_UNQUOTED)} AS target FROM v WHERE {_WIKI(_UNQUOTED)} <> '')"""
 
 SQL = {
     "import_statements": _IMPORTS + " SELECT file_id, line, kind, target FROM imports",
@@ -179,11 +180,11 @@ SQL = {
       u AS (SELECT repo, field, count(*) AS used FROM (SELECT repo, unnest(regexp_extract_all(content, '\.([A-Za-z_][A-Za-z0-9_]*)', 1)) AS field FROM files WHERE content IS NOT NULL) GROUP BY 1, 2)
       SELECT d.repo, d.field, declared, coalesce(used, 0) AS used, CASE WHEN coalesce(used, 0) > 0 THEN 'used' ELSE 'unused' END AS usage FROM d LEFT JOIN u ON u.repo = d.repo AND u.field = d.field""",
     "document_links": f"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents WHERE text IS NOT NULL),
-      b AS (SELECT doc_id, ls, CASE WHEN trim(ls[1]) = '---' AND list_position(list_transform(ls[2:], lambda v: trim(v)), '---') > 0 THEN list_position(list_transform(ls[2:], lambda v: trim(v)), '---') + 1 ELSE 0 END AS b FROM s),
+      b AS (SELECT doc_id, ls, CASE WHEN {sql_trimmed('ls[1]')} = '---' AND list_position(list_transform(ls[2:], lambda v: {sql_trimmed('v')}), '---') > 0 THEN list_position(list_transform(ls[2:], lambda v: {sql_trimmed('v')}), '---') + 1 ELSE 0 END AS b FROM s),
       l AS (SELECT doc_id, b, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM b), k AS (SELECT *, CASE WHEN regexp_matches(text, '^\\s*(```|~~~)') THEN 1 ELSE 0 END AS f FROM l WHERE line > b),
       o AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY line) % 2 AS depth FROM k), p AS (SELECT doc_id, line, regexp_replace(text, '`[^`]*`', '', 'g') AS text FROM o WHERE f = 0 AND depth = 0),
-      h AS (SELECT doc_id, line, 'wikilink' AS type, unnest(list_transform(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1), lambda v: {_WIKI.format('v')})) AS target FROM p
-        UNION ALL SELECT doc_id, line, 'markdown-link', unnest(list_transform(regexp_extract_all(text, '(?:^|[^!])\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda v: {_MD.format('v')})) FROM p)
+      h AS (SELECT doc_id, line, 'wikilink' AS type, unnest(list_transform(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1), lambda v: {_WIKI('v')})) AS target FROM p
+        UNION ALL SELECT doc_id, line, 'markdown-link', unnest(list_transform(regexp_extract_all(text, '(?:^|[^!])\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda v: {_MD('v')})) FROM p)
       SELECT DISTINCT * FROM h WHERE target IS NOT NULL AND target <> ''""",
     "document_relations": f"WITH {_RELATIONS} SELECT * FROM relations",
     "resolved_relations": f"""WITH {_RELATIONS}, i AS (SELECT lower(regexp_extract(text, '^---\\r?\\n(?:[\\s\\S]*?\\r?\\n)?id:[ \\t]*([^\\r\\n]+?)[ \\t]*\\r?\\n', 1)) AS identity, count(*) AS n, min(doc_id) AS d FROM documents GROUP BY 1)

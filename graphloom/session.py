@@ -28,8 +28,21 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts this package's folder on the path of Python workers.
+
+    That serves local masters and clusters that see the folder under the same path; elsewhere ship it with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory; columns are pruned at the scan by the caller's plan."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
