@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import spread
 from .graph_views import clean_path, trimmed
 
 #: Import statements by kind, in order of precedence; group 1 is the target.
@@ -247,7 +248,7 @@ def document_links(documents: DataFrame, key: str = "doc_id", text: str = "text"
     Header lines between --- marks at the start hold no links. Targets lose aliases, anchors, ./ and .md; web
     addresses and bare anchors are none. Documents' lines are numbered within the document only.
     """
-    numbered = documents.where(F.col(text).isNotNull()).select(key, F.split(text, r"\r?\n").alias("ls"))
+    numbered = spread(documents.where(F.col(text).isNotNull()).select(key, text), key).select(key, F.split(text, r"\r?\n").alias("ls"))
     closing = F.array_position(F.slice(F.transform("ls", trimmed), 2, F.greatest(F.size("ls") - 1, F.lit(0))), "---")
     body = F.when((trimmed(F.get("ls", F.lit(0))) == "---") & (closing > 0), closing + 1).otherwise(0)
     lines = numbered.select(key, body.alias("b"), F.posexplode("ls").alias("line", "content")).withColumn("line", F.col("line") + 1).where("line > b")
