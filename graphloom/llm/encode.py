@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import spread
 from .bpe import DEFAULT_VOCABULARY, TOKENIZER_DIR, encoder
 
 
@@ -50,6 +51,6 @@ def token_text(ids: Column, vocabulary: str = DEFAULT_VOCABULARY, folder: str =
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``id_col`` and ``ids``, one row per row of ``documents``, repeated rows included.
 
-    Encoding is per row without any exchange. Null and empty texts have an empty list; other columns are not read.
+    Encoding is per row; rows move only if the input has fewer partitions than there are cores. Null and empty texts have an empty list; other columns are not read.
     """
-    return documents.select(F.col(id_col), token_ids(F.col(text_col), vocabulary, folder).alias("ids"))
+    return spread(documents.select(id_col, text_col), id_col).select(F.col(id_col), token_ids(F.col(text_col), vocabulary, folder).alias("ids"))

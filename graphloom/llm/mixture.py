@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.skew import join_lookup
-from ..session import cut
+from ..session import cut, cut_in_place, spread
 from .encode import token_count
 
 
 def document_sizes(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, source and n_tokens of the documents whose source has a target; materialised, as encoding is the cost."""
     wanted = targets.where("source is not null").select("source").distinct()
-    mine = join_lookup(documents.select("doc_id", "source", "text"), wanted, ["source"])
+    mine = spread(join_lookup(documents.select("doc_id", "source", "text"), wanted, ["source"]), "doc_id")
     return cut(mine.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
 
 
@@ -64,7 +64,7 @@ def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int =
     and the partitions' counts (one row per partition and source) are summed ahead of each.
     """
     order = ["source", "n_tokens", "spread", "doc_id"]
-    placed = cut(
+    placed = cut_in_place(
         sizes.where("n_tokens > 0")
         .withColumn("spread", F.xxhash64(F.lit(seed), "doc_id"))
         .repartitionByRange(*[F.col(c) for c in order])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from . import secret_crf
 from .secret_lexer import KIND
 
@@ -78,7 +79,8 @@ def credential_rows(rows: DataFrame, key_cols: list[str], text_col: str = "text"
     """The rows of ``rows`` whose text holds a credential: the key columns, span_starts, span_ends, masked_text.
 
     Null and empty texts have none. Texts are read whole; repeated rows come out each. The trained weights
-    (2**17 numbers) are broadcast; every row is labelled where it is read, without an exchange.
+    (2**17 numbers) are broadcast; rows are labelled where they are read, and move only if the input has fewer
+    partitions than there are cores.
     """
     spark = rows.sparkSession
     trained = secret_crf.trained()
@@ -101,7 +103,7 @@ def credential_rows(rows: DataFrame, key_cols: list[str], text_col: str = "text"
             clean = pa.array([masked(texts[i], spans[i], mask) for i in hit], pa.string())
             yield pa.RecordBatch.from_arrays([*keys, starts, ends, clean], [*key_cols, "span_starts", "span_ends", "masked_text"])
 
-    return rows.select(*key_cols, text_col).where(f"`{text_col}` <> ''").mapInArrow(label, schema)
+    return spread(rows.select(*key_cols, text_col).where(f"`{text_col}` <> ''"), *key_cols).mapInArrow(label, schema)
 
 
 def searched_rows(connections: DataFrame, llm_calls: DataFrame, prompts: DataFrame) -> DataFrame:

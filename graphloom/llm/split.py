@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import join_lookup
+from ..session import spread
 from .bpe import DEFAULT_VOCABULARY, TOKENIZER_DIR, Encoder, encoder
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
@@ -142,12 +143,12 @@ def split_documents(documents: DataFrame, settings: DataFrame, vocabulary: str =
     shared_tokens (with the piece before), char_start, char_end, n_tokens, cut_at, text.
     Null and empty texts, texts within the limit, and kinds (or null) without a setting, or with one whose
     max_tokens is null or below 1, give no rows. Of several settings of a kind the smallest setting_id holds; a null overlap is 0.
-    Repeated rows give their pieces each time. Work is per row: no exchange beside the lookup of settings.
+    Repeated rows give their pieces each time. Work is per row; rows move only if the input has fewer partitions than there are cores.
     """
     chosen = settings.where("doc_kind is not null").groupBy("doc_kind").agg(F.min_by(F.struct("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens")), "setting_id").alias("s"))
     limits = chosen.select("doc_kind", "s.max_tokens", "s.overlap_tokens").where("max_tokens >= 1")
     # no text of at most max_tokens bytes has more tokens
-    rows = join_lookup(documents.select("doc_id", "doc_kind", "text"), limits, ["doc_kind"]).where("octet_length(text) > max_tokens")
+    rows = spread(join_lookup(documents.select("doc_id", "doc_kind", "text"), limits, ["doc_kind"]).where("octet_length(text) > max_tokens"), "doc_id")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary, folder)
