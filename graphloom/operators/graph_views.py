@@ -8,27 +8,22 @@ from ..session import table
 
 
 
-def latest(df: DataFrame, key: str) -> DataFrame:
-    """One row per ``key``: the one that arrived last (ties: largest seq). Rows without key are not entities."""
-    rest = [c for c in df.columns if c != key]
+def latest(df: DataFrame, key: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ``key``: the one that arrived last (ties: largest seq). Rows without key are not entities.
+
+    ``columns`` names what else is wanted (all if empty), so that the scan reads no more.
+    """
+    rest = [c for c in df.columns if c != key and (not columns or c in columns)]
     kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("arrived_at", "seq")).alias("r"))
     return kept.select(key, "r.*")
 
 
-def nodes_of(components: DataFrame) -> DataFrame:
-    return latest(components, "component_id")
-
-
-def edges_of(connections: DataFrame) -> DataFrame:
-    return latest(connections, "connection_id")
-
-
-def nodes(spark, d: str) -> DataFrame:
-    return nodes_of(table(spark, d, "components"))
+def nodes(spark, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "components"), "component_id", columns)
 
 
-def edges(spark, d: str) -> DataFrame:
-    return edges_of(table(spark, d, "connections"))
+def edges(spark, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "connections"), "connection_id", columns)
 
 
 def clean_path(path: Column) -> Column:

@@ -30,7 +30,7 @@ def graph_nodes(spark, d):
 
 
 def graph_edges(spark, d):
-    return edges(spark, d).select("connection_id", F.col("from_id").alias("source"), F.col("to_id").alias("target"), "connection_type", F.coalesce("symbol", "connection_type").alias("label"))
+    return edges(spark, d, "from_id", "to_id", "connection_type", "symbol").select("connection_id", F.col("from_id").alias("source"), F.col("to_id").alias("target"), "connection_type", F.coalesce("symbol", "connection_type").alias("label"))
 
 
 def name_index(spark, d):
@@ -38,28 +38,28 @@ def name_index(spark, d):
 
 
 def node_degrees(spark, d):
-    return c.degrees(nodes(spark, d), edges(spark, d)).select("component_id", "incoming", "outgoing")
+    return c.degrees(nodes(spark, d), edges(spark, d, "from_id", "to_id", "connection_type")).select("component_id", "incoming", "outgoing")
 
 
 def most_connected(spark, d):
-    got = c.degrees(nodes(spark, d), edges(spark, d)).select("component_id", "name", (F.col("incoming") + F.col("outgoing")).alias("degree"))
+    got = c.degrees(nodes(spark, d), edges(spark, d, "from_id", "to_id", "connection_type")).select("component_id", "name", (F.col("incoming") + F.col("outgoing")).alias("degree"))
     return got.orderBy(F.desc("degree"), "component_id").limit(10)
 
 
 def top_of_layer(spark, d):
-    return c.top_per_layer(nodes(spark, d), edges(spark, d))
+    return c.top_per_layer(nodes(spark, d), edges(spark, d, "from_id", "to_id", "connection_type"))
 
 
 def file_owner_map(spark, d):
-    return c.file_map(nodes(spark, d), edges(spark, d))
+    return c.file_map(nodes(spark, d), edges(spark, d, "from_id", "file", "seq"))
 
 
 def reverse_deps(spark, d):
-    return c.reverse_dependencies(nodes(spark, d), edges(spark, d))
+    return c.reverse_dependencies(nodes(spark, d), edges(spark, d, "to_id", "file", "connection_type"))
 
 
 def file_level_connections(spark, d):
-    return c.file_connections(edges(spark, d))
+    return c.file_connections(edges(spark, d, "from_id", "to_id", "file", "connection_type"))
 
 
 def storage_stats(spark, d):
@@ -95,47 +95,47 @@ def resolve_components(spark, d):
 
 
 def alias_groups(spark, d):
-    return c.merge_aliases(nodes(spark, d), edges(spark, d))
+    return c.merge_aliases(nodes(spark, d), edges(spark, d, "from_id", "to_id", "connection_type"))
 
 
 def bounded_listing(spark, d):
-    return c.bounded(edges(spark, d).where("confidence < 0.5"), 50)
+    return c.bounded(edges(spark, d, "confidence").where("confidence < 0.5"), 50)
 
 
 def compact_connections(spark, d):
-    named = ends(edges(spark, d), nodes(spark, d))
+    named = ends(edges(spark, d, "from_id", "to_id", "connection_type", "confidence"), nodes(spark, d))
     return named.select("connection_id", F.coalesce("from_name", F.lit("?")).alias("f"), F.coalesce("to_name", F.lit("?")).alias("t"), F.col("connection_type").alias("ct"), F.col("confidence").alias("c"))
 
 
 def resolved_edges(spark, d):
-    named = ends(edges(spark, d), nodes(spark, d)).where("from_name is not null and to_name is not null")
+    named = ends(edges(spark, d, "from_id", "to_id", "connection_type"), nodes(spark, d)).where("from_name is not null and to_name is not null")
     return named.groupBy("from_component_type", "to_component_type", "connection_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("from_id").alias("sources"))
 
 
 def layer_flow(spark, d):
-    named = ends(edges(spark, d), nodes(spark, d)).where("from_layer is not null and to_layer is not null and from_layer <> to_layer")
+    named = ends(edges(spark, d, "from_id", "to_id", "connection_type"), nodes(spark, d)).where("from_layer is not null and to_layer is not null and from_layer <> to_layer")
     return named.groupBy("from_layer", "to_layer").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def production_edges(spark, d):
     kept = F.coalesce("classification", F.lit("production")).isin("production", "unknown", "admin", "analytics")
-    return edges(spark, d).where(kept).groupBy("repo").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("classification").eqNullSafe("production")).alias("strict"))
+    return edges(spark, d, "repo", "classification").where(kept).groupBy("repo").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("classification").eqNullSafe("production")).alias("strict"))
 
 
 def confidence_bands(spark, d):
-    return c.coverage_bands(edges(spark, d))
+    return c.coverage_bands(edges(spark, d, "confidence", "classification"))
 
 
 def coverage_gaps(spark, d):
-    return c.coverage_gaps(nodes(spark, d), edges(spark, d))
+    return c.coverage_gaps(nodes(spark, d), edges(spark, d, "from_id", "to_id", "confidence"))
 
 
 def coverage_summary(spark, d):
-    return c.coverage_summary(nodes(spark, d), edges(spark, d), table(spark, d, "source_files"))
+    return c.coverage_summary(nodes(spark, d), edges(spark, d, "repo", "file", "confidence"), table(spark, d, "source_files"))
 
 
 def dead_components(spark, d):
-    return c.dead_components(nodes(spark, d), edges(spark, d))
+    return c.dead_components(nodes(spark, d), edges(spark, d, "from_id", "to_id", "connection_type"))
 
 
 def lesson_search(spark, d):
@@ -152,7 +152,7 @@ def lesson_promotions(spark, d):
 
 
 def repo_listing(spark, d):
-    return c.repo_listing(nodes(spark, d), edges(spark, d), AS_OF)
+    return c.repo_listing(nodes(spark, d), edges(spark, d, "repo", "detected_at"), AS_OF)
 
 
 def unmapped_files(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, rules, traverse as t
 from ..operators.graph_views import SQL_EDGES, SQL_GRAPH, SQL_NODES, clean_path, edges, nodes, sql_clean_path
-from ..session import table
+from ..session import cut
 
 CUSTOM_RULES = [
     ("no-frontend-to-infra", "frontend", None, None, "infra", None, None),
@@ -17,6 +17,11 @@ RULE_SCHEMA = "id string, from_layer string, from_type string, from_name string,
 ROUNDS = 5
 
 
+def _links(spark, d):
+    """The edges' ends and types, read and deduplicated once for all steps of a traversal."""
+    return cut(edges(spark, d, "from_id", "to_id", "connection_type"))
+
+
 def _start(n, e) -> str:
     """The smallest id among known components with 6 to 20 distinct dependents: small enough to read, the same everywhere."""
     fan = t.simple_edges(e).groupBy("dst").count().where("count between 6 and 20").join(n.select(F.col("component_id").alias("dst")), "dst", "left_semi")
@@ -53,16 +58,16 @@ def edge_classes(spark, d):
 
 
 def impact(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = nodes(spark, d), _links(spark, d)
     return t.impact(n, e, _start(n, e))
 
 
 def impact_severity(spark, d):
-    return t.impact_severity(nodes(spark, d), edges(spark, d))
+    return t.impact_severity(nodes(spark, d), _links(spark, d))
 
 
 def focus_subgraph(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = nodes(spark, d), _links(spark, d)
     return t.neighbourhood(e, spark.createDataFrame([(_start(n, e),)], "id string"), 2)
 
 
@@ -71,41 +76,41 @@ def entry_points(spark, d):
 
 
 def reachable(spark, d):
-    return t.reachable(edges(spark, d), t.entry_points(nodes(spark, d)).where("reason = 'type:cron'").select("id"))
+    return t.reachable(_links(spark, d), t.entry_points(nodes(spark, d)).where("reason = 'type:cron'").select("id"))
 
 
 def transitively_dead(spark, d):
-    return t.transitively_dead(nodes(spark, d), edges(spark, d))
+    return t.transitively_dead(nodes(spark, d), _links(spark, d))
 
 
 def trace_paths(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = nodes(spark, d), _links(spark, d)
     return t.trace(n, e, _start(n, e), 2)
 
 
 def import_cycles(spark, d):
-    return t.short_cycles(edges(spark, d).where("connection_type = 'imports'"))
+    return t.short_cycles(edges(spark, d, "from_id", "to_id", "connection_type").where("connection_type = 'imports'"))
 
 
 def cycle_core(spark, d):
-    return t.in_cycle(edges(spark, d).where("connection_type = 'imports'"))
+    return t.in_cycle(edges(spark, d, "from_id", "to_id", "connection_type").where("connection_type = 'imports'"))
 
 
 def pagerank(spark, d):
-    return t.pagerank(nodes(spark, d), edges(spark, d), ROUNDS)
+    return t.pagerank(nodes(spark, d), _links(spark, d), ROUNDS)
 
 
 def communities(spark, d):
-    return t.communities(nodes(spark, d), edges(spark, d))
+    return t.communities(nodes(spark, d), _links(spark, d))
 
 
 def layer_modularity(spark, d):
     labels = nodes(spark, d).select("component_id", F.coalesce("layer", F.lit("")).alias("community"))
-    return t.modularity(edges(spark, d), labels)
+    return t.modularity(_links(spark, d), labels)
 
 
 def bridges(spark, d):
-    return t.bridge_ratio(nodes(spark, d), edges(spark, d))
+    return t.bridge_ratio(nodes(spark, d), _links(spark, d))
 
 
 def group_prefixes(spark, d):
