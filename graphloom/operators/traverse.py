@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, drop_cut
 from .graph_views import clean_path
 
 #: Weights of edge types in a route's score.
@@ -159,11 +159,13 @@ def in_cycle(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return p.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """PageRank over distinct edges between known nodes, self-loops kept, mass of dangling nodes spread evenly.
 
-    Below 20 nodes there is no result (metrics on tiny graphs say nothing). Contributions are summed with a map-side
-    combine, so a hub receives one number per task. component_id, rank (rounded to 9 places).
+    Rounds end when the ranks' summed change is below ``tolerance`` (at damping 0.85 within 100 rounds, as the change
+    shrinks by the damping in each); tolerance 0 runs all ``rounds``. Below 20 nodes there is no result (metrics on tiny
+    graphs say nothing). Contributions are summed with a map-side combine, so a hub receives one number per task.
+    component_id, rank (rounded to 9 places).
     """
     ids = cut(nodes.select(F.col("component_id").alias("id")))
     n = ids.count()
@@ -172,31 +174,40 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float
     p = simple_edges(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = p.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = cut(p.join(out, "src").select("src", "dst", "degree"))
-    ranks = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "degree", F.lit(1.0 / n).alias("rank")))
+    ranks = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "degree", F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("change")))
     for _ in range(rounds):
-        dangling = ranks.where("degree is null").agg(F.sum("rank").alias("m")).first()["m"] or 0.0
+        now = ranks.agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))).alias("m"), F.sum("change").alias("change")).first()
+        if now["change"] < tolerance:
+            break
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        base = (1 - damping) / n + damping * dangling / n
-        ranks = cut(ranks.join(given, "id", "left").select("id", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        base = (1 - damping) / n + damping * (now["m"] or 0.0) / n
+        new = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
+        before, ranks = ranks, cut(ranks.join(given, "id", "left").select("id", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        drop_cut(before)
     return ranks.select(F.col("id").alias("component_id"), F.round("rank", 9).alias("rank"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Deterministic label propagation: each node takes the commonest label among its neighbours (smallest on ties).
 
     A published alternative to a seeded modularity search whose source is not at hand. component_id, community.
+    Rounds end when no label changes, or when all labels are those of two rounds before: voting at once on an undirected
+    graph comes to one of the two. In the latter case each node takes the smaller of its two labels.
     Counting labels per (node, label) pre-aggregates a hub's neighbours before its own vote.
     """
     p = simple_edges(edges).where("src <> dst")
     both = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     ids = nodes.select(F.col("component_id").alias("src"))
     both = cut(both.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi"))
-    labels = cut(ids.select(F.col("src").alias("id"), F.col("src").alias("label")))
-    for _ in range(rounds):
+    labels = cut(ids.select(F.col("src").alias("id"), F.col("src").alias("label"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("earlier")))
+    while True:
         votes = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         won = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("won"))
-        labels = cut(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label")))
-    return labels.select(F.col("id").alias("component_id"), F.col("label").alias("community"))
+        before, labels = labels, cut(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), F.col("label").alias("last"), F.col("last").alias("earlier")))
+        drop_cut(before)
+        differ = labels.agg(F.count_if(F.col("label") != F.col("last")).alias("last"), F.count_if(~F.col("label").eqNullSafe(F.col("earlier"))).alias("earlier")).first()
+        if not differ["last"] or not differ["earlier"]:
+            return labels.select(F.col("id").alias("component_id"), F.least("label", "last").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

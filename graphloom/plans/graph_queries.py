@@ -97,7 +97,12 @@ def cycle_core(spark, d):
 
 
 def pagerank(spark, d):
-    return t.pagerank(nodes(spark, d), _links(spark, d), ROUNDS)
+    """The first ROUNDS rounds, as its SQL unrolls them; ``pagerank_converged`` has the ranks."""
+    return t.pagerank(nodes(spark, d), _links(spark, d), ROUNDS, tolerance=0.0)
+
+
+def pagerank_converged(spark, d):
+    return t.pagerank(nodes(spark, d), _links(spark, d))
 
 
 def communities(spark, d):
@@ -146,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_severity, focus_subgraph, entry_points, reachable, transitively_dead,
-        trace_paths, import_cycles, cycle_core, pagerank, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
+        trace_paths, import_cycles, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
     )
 }
 
@@ -222,6 +227,17 @@ def _pagerank_sql() -> str:
     return sql + f" SELECT id AS component_id, round(rank, 9) AS rank FROM r{ROUNDS}, n WHERE n.n >= {t.MIN_METRIC_NODES}"
 
 
+def _converged_sql() -> str:
+    return f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, n AS (SELECT count(*) AS n FROM nodes),
+    links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM pairs WHERE src IN (SELECT component_id FROM nodes) AND dst IN (SELECT component_id FROM nodes)),
+    steps AS (SELECT 0 AS i, component_id AS id, 1.0::DOUBLE / n.n AS rank, 1.0::DOUBLE AS change FROM nodes, n
+      UNION ALL SELECT i + 1, id, new, sum(abs(new - rank)) OVER () FROM (
+        SELECT s.i, s.id, s.rank, 0.15::DOUBLE / n.n + 0.85::DOUBLE * m.m / n.n + 0.85::DOUBLE * coalesce(g.got, 0) AS new FROM steps s
+        LEFT JOIN (SELECT l.dst AS id, sum(r.rank / l.degree) AS got FROM links l JOIN steps r ON r.id = l.src GROUP BY 1) g USING (id),
+        (SELECT coalesce(sum(rank), 0) AS m FROM steps WHERE id NOT IN (SELECT src FROM links)) m, n WHERE s.i < 100 AND s.change >= 1e-6))
+    SELECT id AS component_id, round(rank, 9) AS rank FROM steps, n WHERE i = (SELECT max(i) FROM steps) AND n.n >= {t.MIN_METRIC_NODES}"""
+
+
 _ENTRY_PATH = f"lower({sql_clean_path(chr(99) + 'oalesce(file, ' + chr(39) * 2 + ')')})"
 _ENTRIES = f"entries AS (SELECT component_id AS id, CASE WHEN component_type IN ({_list(t.ENTRY_TYPES)}) THEN 'type:' || component_type WHEN regexp_matches({_ENTRY_PATH}, '{t.ENTRY_PATHS}') THEN 'path' END AS reason FROM nodes)"
 _WEIGHTS = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.ROUTE_WEIGHTS.items()) + " ELSE 0 END"
@@ -268,6 +284,7 @@ SQL = {
       SELECT a.src || '>' || a.dst AS cycle, 2 AS length FROM p a JOIN p b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
       UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM p a JOIN p b ON b.src = a.dst JOIN p c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""",
     "pagerank": _pagerank_sql(),
+    "pagerank_converged": _converged_sql(),
     "layer_modularity": f"""{SQL_GRAPH}, {_P}, e AS (SELECT coalesce(a.layer, '') AS s, coalesce(b.layer, '') AS t FROM pairs JOIN nodes a ON a.component_id = src JOIN nodes b ON b.component_id = dst),
       g AS (SELECT c, sum(o)::DOUBLE AS o, sum(i)::DOUBLE AS i FROM (SELECT s AS c, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e) GROUP BY 1)
       SELECT round((SELECT count(*) FILTER (s = t)::DOUBLE / nullif(count(*), 0) FROM e) - (SELECT sum(o * i) FROM g) / (SELECT nullif(count(*), 0)::DOUBLE * count(*) FROM e), 6) AS q""",

@@ -75,7 +75,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Removes the files of a ``cut`` that nothing reads any more, so that a long loop holds two rounds on disk, not all."""
+    spark = df.sparkSession
+    _remove(spark, df.cut_path)
+    _written.remove((spark, df.cut_path))
 
 
 def cut_in_place(df: DataFrame) -> DataFrame:
@@ -87,13 +96,16 @@ def cut_in_place(df: DataFrame) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session has ended; its folder is the cluster's to clean
             return
 

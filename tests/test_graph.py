@@ -82,6 +82,39 @@ def test_pagerank_sums_to_one_and_is_suppressed_when_small(spark):
     assert traverse.pagerank(n.limit(19), e).count() == 0
 
 
+def test_pagerank_runs_until_it_converges(spark):
+    """A chain into a ring and a hub, beside power iteration to the end."""
+    ids_ = [f"n{i}" for i in range(30)]
+    pairs = [*[(f"n{i}", f"n{i + 1}") for i in range(25)], ("n25", "n20"), *[(f"n{i}", "n0") for i in range(26, 30)]]
+    got = {r["component_id"]: r["rank"] for r in traverse.pagerank(nodes(spark, *[(x, "component", None, None) for x in ids_]), edges(spark, *pairs)).collect()}
+    out = {x: [b for a, b in pairs if a == x] for x in ids_}
+    want = dict.fromkeys(ids_, 1 / 30)
+    for _ in range(400):
+        lost = sum(want[x] for x in ids_ if not out[x])
+        want = {x: 0.15 / 30 + 0.85 * lost / 30 + 0.85 * sum(want[a] / len(out[a]) for a, b in pairs if b == x) for x in ids_}
+    assert sum(abs(got[x] - want[x]) for x in ids_) < 1e-5
+
+
+def test_communities_end_without_change_or_in_turns(spark):
+    """Labels walk along a chain with a tail of ties; a star's ends and middle change places for ever."""
+    cliques = [(f"c{k}{i}", f"c{k}{j}") for k in range(2) for i in range(3) for j in range(i)]
+    chain = [(f"p{i:02}", f"p{i + 1:02}") for i in range(12)] + [(f"p{i:02}", f"p{i + 2:02}") for i in range(11)]
+    star = [("s0", f"s{i}") for i in range(1, 5)]
+    pairs = cliques + chain + star
+    ids_ = sorted({x for p in pairs for x in p})
+    near = {x: {b for a, b in pairs if a == x} | {a for a, b in pairs if b == x} for x in ids_}
+    vote = lambda l: {x: min(near[x], key=lambda y: (-sum(l[z] == l[y] for z in near[x]), l[y])) for x in ids_}
+    seen = [{x: x for x in ids_}]
+    while True:
+        seen.append({x: seen[-1][y] for x, y in vote(seen[-1]).items()})
+        if seen[-1] == seen[-2] or len(seen) > 2 and seen[-1] == seen[-3]:
+            break
+    assert len(seen) > 7
+    got = {r["component_id"]: r["community"] for r in traverse.communities(nodes(spark, *[(x, "component", None, None) for x in ids_]), edges(spark, *pairs)).collect()}
+    assert got == {x: min(seen[-1][x], seen[-2][x]) for x in ids_}
+    assert len({got[f"s{i}"] for i in range(5)}) == 1
+
+
 def test_communities_and_modularity(spark):
     cliques = [list("abcd"), list("wxyz")]
     n = nodes(spark, *[(x, "component", None, None) for c in cliques for x in c])
