@@ -99,23 +99,40 @@ def transitively_dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.join(live, rest["component_id"] == live["id"], "left_anti").select("component_id", "component_type")
 
 
-def trace(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
-    """All forward paths without repeated nodes from ``start``: route (ids joined by >), types, hops, score.
+#: What counts as production when paths are filtered by classification, beside edges without one.
+PRODUCTION = ("", "production", "unknown", "admin", "analytics")
 
-    A path ends at ``depth``, or where no edge leads on to an unvisited known node. Edges are collapsed to (from, to,
-    type) first, env-dependency edges are not followed; the score weighs edge types, new layers and length.
-    The number of paths is exponential in depth by definition: bound the depth, and start where fan-out is small.
+
+def trace(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 5, direction: str = "forward", classification: str | None = None) -> DataFrame:
+    """All paths without repeated nodes from ``start``: route (ids joined by >), types, hops, score.
+
+    ``direction`` is forward, backward or both. A queue is a bridge: entered by queue-produces it also leads to its
+    consumers, by queue-consumes also to its producers. ``classification`` keeps the edges of one class; production is
+    all that is not marked as something else. A path ends at ``depth``, or where no edge leads on to an unvisited known
+    node. Edges are collapsed to (from, to, type) first, env-dependency edges are not followed; the score weighs edge
+    types, new layers and length.
+    The number of paths is exponential in depth by definition: bound the depth, or start where fan-out is small.
     """
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError(f"direction is forward, backward or both, not {direction}")
     known = nodes.select(F.col("component_id").alias("dst"), F.coalesce("layer", F.lit("")).alias("dst_layer"))
-    step = cut(
-        edges.where(~F.col("connection_type").isin(*NOT_TRACED)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "connection_type").dropna().distinct().join(known, "dst")
-    )
+    keep = F.lit(True) if classification is None else F.coalesce("classification", F.lit("")).isin(*PRODUCTION) if classification == "production" else F.coalesce(F.col("classification") == classification, F.lit(False))
+    links = edges.where(~F.col("connection_type").isin(*NOT_TRACED)).withColumn("keep", keep).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "connection_type", "keep").dropna()
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "connection_type", "keep")
+    plain = {"forward": links, "backward": back, "both": links.unionByName(back)}[direction]
+    # via: the type of edge by which a bridge must be entered; null where none is asked for
+    step = plain.withColumn("via", F.lit(None).cast("string"))
+    if direction != "both":
+        other, kind, via = (back, "queue-produces", "queue-consumes") if direction == "forward" else (links, "queue-consumes", "queue-produces")
+        queues = nodes.where("component_type = 'queue'").select(F.col("component_id").alias("src"))
+        step = step.unionByName(other.where(F.col("connection_type") == kind).join(queues, "src", "left_semi").join(plain.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("via", F.lit(via)))
+    step = cut(step.where("keep").drop("keep").distinct().join(known, "dst"))
     first = nodes.where(F.col("component_id") == start)
     live = first.select(F.array("component_id").alias("ids"), F.array().cast("array<string>").alias("types"), F.array(F.coalesce("layer", F.lit(""))).alias("layers"))
     done = None
     for _ in range(depth):
         tip = live.withColumn("src", F.element_at("ids", -1))
-        grown = tip.join(step, "src").where(~F.array_contains("ids", F.col("dst")))
+        grown = tip.join(step, "src").where(~F.array_contains("ids", F.col("dst")) & (F.col("via").isNull() | F.coalesce(F.try_element_at("types", F.lit(-1)) == F.col("via"), F.lit(False))))
         grown = cut(grown.select(F.concat("ids", F.array("dst")).alias("ids"), F.concat("types", F.array("connection_type")).alias("types"), F.concat("layers", F.array("dst_layer")).alias("layers")))
         ended = live.join(grown.select(F.slice("ids", 1, F.size("ids") - 1).alias("ids"), F.slice("types", 1, F.size("types") - 1).alias("types")).distinct(), ["ids", "types"], "left_anti").where("size(ids) > 1")
         done = ended if done is None else done.unionByName(ended)

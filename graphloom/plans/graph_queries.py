@@ -15,6 +15,8 @@ CUSTOM_RULES = [
 ]
 RULE_SCHEMA = "id string, from_layer string, from_type string, from_name string, to_layer string, to_type string, to_name string"
 ROUNDS = 5
+#: The reference's default depth of a trace.
+HOPS = 5
 
 
 def _links(spark, d):
@@ -28,6 +30,14 @@ def _start(n, e) -> str:
     return fan.agg(F.min("dst")).first()[0]
 
 
+def _hub(n, e) -> str:
+    """The known component with most distinct neighbours, the smallest id on ties."""
+    p = t.simple_edges(e).where("src <> dst")
+    near = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().groupBy("src").count()
+    top = near.join(n.select(F.col("component_id").alias("src")), "src", "left_semi").orderBy(F.desc("count"), "src").first()
+    return top and top["src"]
+
+
 def rules_builtin(spark, d):
     return rules.builtin_rules(nodes(spark, d), edges(spark, d))
 
@@ -62,6 +72,11 @@ def impact(spark, d):
     return t.impact(n, e, _start(n, e))
 
 
+def impact_hub(spark, d):
+    n, e = nodes(spark, d), _links(spark, d)
+    return t.impact(n, e, _hub(n, e))
+
+
 def impact_severity(spark, d):
     return t.impact_severity(nodes(spark, d), _links(spark, d))
 
@@ -71,6 +86,11 @@ def focus_subgraph(spark, d):
     return t.neighbourhood(e, spark.createDataFrame([(_start(n, e),)], "id string"), 2)
 
 
+def focus_hub(spark, d):
+    n, e = nodes(spark, d), _links(spark, d)
+    return t.neighbourhood(e, spark.createDataFrame([(_hub(n, e),)], "id string"), 2)
+
+
 def entry_points(spark, d):
     return t.entry_points(nodes(spark, d))
 
@@ -88,6 +108,12 @@ def trace_paths(spark, d):
     return t.trace(n, e, _start(n, e), 2)
 
 
+def trace_hub(spark, d):
+    """All that flows into the hub over up to HOPS edges."""
+    n, e = nodes(spark, d), _links(spark, d)
+    return t.trace(n, e, _hub(n, e), HOPS, "backward")
+
+
 def import_cycles(spark, d):
     return t.short_cycles(edges(spark, d, "from_id", "to_id", "connection_type").where("connection_type = 'imports'"))
 
@@ -150,8 +176,8 @@ def escalation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_severity, focus_subgraph, entry_points, reachable, transitively_dead,
-        trace_paths, import_cycles, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
+        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_hub, impact_severity, focus_subgraph, focus_hub, entry_points, reachable, transitively_dead,
+        trace_paths, trace_hub, import_cycles, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
     )
 }
 
@@ -162,6 +188,7 @@ def _list(values) -> str:
 
 _P = "pairs AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL)"
 _START = "start AS (SELECT min(dst) AS id FROM (SELECT dst FROM pairs JOIN nodes ON component_id = dst GROUP BY dst HAVING count(*) BETWEEN 6 AND 20))"
+_HUB = "start AS (SELECT src AS id FROM (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs) JOIN nodes ON component_id = src WHERE src <> dst GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 _INTERNAL = "mine AS (SELECT * FROM nodes WHERE component_type = 'component' AND file <> '' AND NOT ends_with(file, 'package.json'))"
 _SEGS = r"list_filter(string_split(regexp_replace(replace(file, '\', '/'), '\.[^.]+$', ''), '/'), lambda x: x <> '')"
 _KEY = f"lower(CASE WHEN {_SEGS}[1] IN ('src', 'app', 'lib') THEN coalesce({_SEGS}[2], {_SEGS}[1]) ELSE {_SEGS}[1] END)"
@@ -300,3 +327,20 @@ SQL = {
       SELECT pct.component_id, round(centrality * 0.35::DOUBLE + coalesce(bridge, 0) * 0.25::DOUBLE + least(1.0::DOUBLE, coalesce(v, 0) / 3.0::DOUBLE) * 0.30::DOUBLE + least(1.0::DOUBLE, coalesce(c, 0) / 3.0::DOUBLE) * 0.10::DOUBLE, 6) AS score
       FROM pct LEFT JOIN bridge USING (component_id) LEFT JOIN v USING (component_id) LEFT JOIN c USING (component_id) ORDER BY score DESC, component_id LIMIT 50""",
 }
+
+
+def _trace_hub_sql() -> str:
+    sql = f"""{SQL_GRAPH}, {_P}, {_HUB},
+      linked AS (SELECT DISTINCT from_id AS a, to_id AS b, connection_type AS ct FROM edges WHERE connection_type <> 'env-dependency' AND from_id IS NOT NULL AND to_id IS NOT NULL),
+      step AS (SELECT x.*, coalesce(n.layer, '') AS l FROM (SELECT b AS src, a AS dst, ct, NULL AS via FROM linked
+        UNION ALL SELECT a, b, ct, 'queue-produces' FROM linked WHERE ct = 'queue-consumes' AND a IN (SELECT component_id FROM nodes WHERE component_type = 'queue') AND NOT EXISTS (SELECT 1 FROM linked o WHERE o.b = linked.a AND o.a = linked.b)) x JOIN nodes n ON n.component_id = x.dst),
+      p0 AS (SELECT [n.component_id] AS ids, []::VARCHAR[] AS ts, [coalesce(n.layer, '')] AS ls FROM nodes n JOIN start s ON s.id = n.component_id)"""
+    on = "step.src = p{0}.ids[-1] AND NOT list_contains(p{0}.ids, step.dst) AND (step.via IS NULL OR step.via = p{0}.ts[-1])"
+    for i in range(HOPS):
+        sql += f", p{i + 1} AS (SELECT list_append(ids, dst) AS ids, list_append(ts, ct) AS ts, list_append(ls, l) AS ls FROM p{i} JOIN step ON {on.format(i)})"
+    done = f"SELECT * FROM p{HOPS}" + "".join(f" UNION ALL SELECT * FROM p{i} WHERE NOT EXISTS (SELECT 1 FROM step WHERE {on.format(i)})" for i in range(1, HOPS))
+    return sql + f""", done AS ({done}) SELECT array_to_string(ids, '>') AS route, array_to_string(ts, '>') AS types, len(ts) AS hops,
+        list_sum(list_transform(ts, lambda x: {_WEIGHTS.format('x')})) + 2 * greatest(len(list_distinct(list_filter(ls, lambda x: x <> ''))) - 1, 0) + least(len(ids), 6) AS score FROM done"""
+
+
+SQL |= {"impact_hub": SQL["impact"].replace(_START, _HUB), "focus_hub": SQL["focus_subgraph"].replace(_START, _HUB), "trace_hub": _trace_hub_sql()}

@@ -68,6 +68,24 @@ def test_trace_paths(spark):
     assert [(r["route"], r["types"], r["hops"], r["score"]) for r in got] == [("a>b>c", "service-call>api-calls-db", 2, 3 + 4 + 3)]
 
 
+def test_trace_has_directions_bridges_classes_and_five_hops(spark):
+    """A chain, a queue with two producers and a consumer, beside a search by hand."""
+    n = nodes(spark, *[(f"c{i}", "component", None, None) for i in range(8)], ("q", "queue", None, None), *[(x, "component", None, None) for x in ("p1", "p2", "w", "x")])
+    rows = [*[(f"c{i}", f"c{i + 1}", "imports") for i in range(7)], ("p1", "q", "queue-produces"), ("p2", "q", "queue-produces"), ("q", "w", "queue-consumes"), ("x", "q", "queue-consumes"), ("c0", "w", "imports", None, "test"), ("c0", "p1", "imports", None, "admin")]
+    e = edges(spark, *rows)
+
+    def routes(*more, **named):
+        return ids(traverse.trace(n, e, *more, **named), "route")
+
+    assert routes("c1") == ["c1>c2>c3>c4>c5>c6"]
+    assert routes("c2", direction="backward") == ["c2>c1>c0"]
+    assert routes("x") == ["x>q>p1", "x>q>p2", "x>q>w"]
+    assert routes("w", 3, "backward") == ["w>c0", "w>q>p1>c0", "w>q>p2", "w>q>x"]
+    assert routes("p1", 2) == ["p1>q>w"]
+    assert routes("c0", 1, "both", "production") == ["c0>c1", "c0>p1"] and routes("c0", 1, classification="test") == ["c0>w"]
+    assert routes("c2", 1, "both") == ["c2>c1", "c2>c3"]
+
+
 def test_cycles(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("d", "d"), ("d", "a"))
     assert ids(traverse.short_cycles(e), "cycle", "length") == [("a>b", 2), ("a>b>c", 3)]
