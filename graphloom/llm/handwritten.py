@@ -94,7 +94,7 @@ def machine_layout(s: dict[str, float], chars: int, language: str | None) -> str
     return None
 
 
-_HEADER = regex.compile(r"\s*(?:(?://|\#|--|;)[^\n]*\n?|/\*.*?(?:\*/|\Z)\s*|<!--.*?(?:-->|\Z)\s*|\"\"\".*?(?:\"\"\"|\Z)\s*|\#!.*\n)+", regex.S)
+_HEADER = regex.compile(r"\s*(?:(?:(?://|\#|--|;)[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z))\s*)++", regex.S)
 _QUOTED = regex.compile(r"'[^'\n]{2,80}'|\"[^\"\n]{2,80}\"|`[^`\n]{2,80}`|“[^”\n]{2,80}”")
 # How generators of several languages sign their output.
 _GENERATED = regex.compile(
@@ -117,7 +117,7 @@ def stated_origin(text: str) -> str | None:
     m = _HEADER.match(text.removeprefix("﻿"))
     if not m:
         return None
-    head = _QUOTED.sub(" ", m.group()[:4000])
+    head = _QUOTED.sub(" ", m.group())
     if _BY_HAND.search(head):
         return None
     if _GENERATED.search(head):

@@ -37,6 +37,16 @@ def test_origins():
     assert h.stated_origin(HAND + "// Code generated by x. DO NOT EDIT.") is None
 
 
+def test_origins_after_blank_lines_and_long_licences():
+    licence = "".join(f"// Line {i} of a licence text that goes on.\n" for i in range(150))
+    mark = "// Code generated by protoc-gen-go. DO NOT EDIT.\n"
+    heads = ["// Copyright the team.\n\n" + mark, "#!/usr/bin/env node\n\n/* made\n by a tool: do not edit */\n", licence + mark, licence + "\n \n" + mark, "/*" + licence.replace("//", " *") + "*/\n\n" + mark, "-- a\n\n; b\n\n<!-- c -->\n\n# Generated by x\n"]
+    assert [h.stated_origin(x + "\n" + HAND) for x in heads] == ["generated"] * 6
+    assert h.stated_origin(licence + "\n// lib 3.6.11, copied from the upstream release archive, licence BSD-3-Clause\n" + HAND) == "other_project"
+    assert h.stated_origin("// ours\n\n" + HAND + "\n" + mark) is None
+    assert h.stated_origin("// a\n\n" * 20000 + HAND) is None
+
+
 def test_copies_of_packages():
     r = random.Random(3)
     lib = "\n".join(f"export function {''.join(r.choice('abcdefgh') for _ in range(7))}(x) {{ return x + {r.randrange(999)}; }}" for _ in range(30))
