@@ -18,6 +18,7 @@ _WEAK = np.array([KIND[k] for k in ("identifier", "dotted", "path", "constant",
 _GLUE = np.array([KIND[k] for k in ("operator", "at", "number", "word", "assign", "dollar", "other", "identifier", "version")])
 _NAMES = np.array([KIND[k] for k in ("secret_word", "strong_word")])
 _CUES = np.array([KIND[k] for k in ("secret_word", "strong_word", "public_word", "reference_word")])
+_SOFT = np.array([KIND[k] for k in ("word", "number", "version", "secret_word", "strong_word", "public_word", "identifier", "dotted", "path", "constant", "uuid", "hyphenated", "host", "other")])
 _CANDIDATE = np.zeros(len(KIND), bool)
 _CANDIDATE[list(CANDIDATES)] = True
 _IS = {k: KIND[k] for k in KIND}
@@ -106,6 +107,26 @@ def _mix(tag: int, *parts: np.ndarray) -> np.ndarray:
     return (h & _MASK).astype(np.int32)
 
 
+def _before(mask: np.ndarray) -> np.ndarray:
+    """The place of the last marked token before each token, -1 for none."""
+    at = np.where(mask, np.arange(len(mask)), -1)
+    return np.concatenate([[-1], np.maximum.accumulate(at)[:-1]]) if len(mask) else at
+
+
+def _line_starts(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: where its line begins, and where the line before it in the same text begins (its own if none)."""
+    first = np.searchsorted(b.line, b.line, "left")
+    last = np.maximum(first - 1, 0)
+    return first, np.where((first > 0) & (b.text[last] == b.text), first[last], first) if len(first) else first
+
+
+def _in_quotes(b: Batch, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an odd number of quotes stands before a token in its line, and the place of the last of them."""
+    quote = b.kind == _IS["quote"]
+    n = np.cumsum(quote) - quote
+    return ((n - n[first]) % 2 == 1) & ~quote, _before(quote)
+
+
 def features(b: Batch, rows: np.ndarray | None = None) -> np.ndarray:
     """Hashed features of tokens (tokens x templates): shape, neighbours and the line's naming words.
 
@@ -133,8 +154,15 @@ def features(b: Batch, rows: np.ndarray | None = None) -> np.ndarray:
     has = lambda name: (np.bincount(b.line, weights=k == _IS[name], minlength=lines) > 0)[b.line].astype(np.int64)
     public, strongs, reference = has("public_word"), has("strong_word"), has("reference_word")
     quoted = (k1 == _IS["quote"]).astype(np.int64) * 2 + (n1 == _IS["quote"])
-    (k, k1, k2, k3, n1, n2, w1, w2, w3, x1, cue, cue_word, gap, strong, public, strongs, reference, quoted, size) = (
-        a[rows] for a in (k, k1, k2, k3, n1, n2, w1, w2, w3, x1, cue, cue_word, gap, strong, public, strongs, reference, quoted, b.size)
+    inside, opened = _in_quotes(b, first)
+    opener = np.where(inside, k1[opened], none + 1) if len(k) else k1  # what stands before the opening quote, and its name
+    named = np.where(inside, w2[opened], 0) if len(k) else w2
+    inner = inside & (s_before > opened)  # the naming word is quoted too, as in a message
+    above = np.where((s_before < first) & (s_before >= _line_starts(b)[1]), 1 + np.minimum(3, first - s_before), 0)
+    place = np.minimum(3, at - first)
+    own = w
+    (k, k1, k2, k3, n1, n2, w1, w2, w3, x1, cue, cue_word, gap, strong, public, strongs, reference, quoted, size, inside, opener, named, inner, above, place, own) = (
+        a[rows] for a in (k, k1, k2, k3, n1, n2, w1, w2, w3, x1, cue, cue_word, gap, strong, public, strongs, reference, quoted, b.size, inside.astype(np.int64), opener, named, inner.astype(np.int64), above, place, own)
     )
     templates = [
         (np.zeros(len(k), np.int64),),
@@ -158,19 +186,29 @@ def features(b: Batch, rows: np.ndarray | None = None) -> np.ndarray:
         (cue_word, k1),
         (w1, w2),
         (k, cue, k1, quoted),
+        (own,),
+        (k, inside, opener, strong, inner),
+        (k, inside, named),
+        (k, above, place, k1),
+        (k, k1, n1, strong),
     ]
     return np.stack([_mix(i, *parts) for i, parts in enumerate(templates)], 1)
 
 
 def allowed(b: Batch) -> np.ndarray:
-    """Tokens that may be secret at all: literals; names that are quoted or assigned in a line that speaks of
-    credentials; and marks inside a literal (no white space around)."""
-    k1 = _near(b.kind, b.text, -1, len(KIND))
-    weak = np.isin(b.kind, _WEAK)
+    """Tokens that may be secret at all: literals; words, names and numbers that follow a word for credentials in their
+    line or the line before, that are quoted or assigned in a line with such a word, or that are the password of an
+    address; and marks inside one of these (no white space around)."""
+    k1, n1 = _near(b.kind, b.text, -1, len(KIND)), _near(b.kind, b.text, 1, len(KIND))
+    first, above = _line_starts(b)
     lines = int(b.line[-1]) + 1 if len(b.line) else 0
-    named = (np.bincount(b.line, weights=np.isin(b.kind, _NAMES), minlength=lines) > 0)[b.line]
-    plain = (np.isin(k1, [_IS["quote"], _IS["assign"]]) | (b.kind == _IS["hyphenated"])) & named
-    candidate = _CANDIDATE[b.kind] & (~weak | plain)
+    names = np.isin(b.kind, _NAMES)
+    named = (np.bincount(b.line, weights=names, minlength=lines) > 0)[b.line]
+    given = np.isin(k1, [_IS["quote"], _IS["assign"]]) | (b.kind == _IS["hyphenated"]) | _in_quotes(b, first)[0]
+    follows = _before(names) >= above
+    address = (k1 == _IS["assign"]) & (n1 == _IS["at"])
+    soft = np.isin(b.kind, _SOFT) & (follows | given & named | address)
+    candidate = _CANDIDATE[b.kind] & ~np.isin(b.kind, _WEAK) | soft
     touch = _near(b.end, b.text, -1, -1) == b.start
     glue = np.isin(b.kind, _GLUE) & touch & (_near(b.start, b.text, 1, -1) == b.end)
     inside = glue & np.isin(_near(candidate.astype(np.int64), b.text, -1, 0) + _near(candidate.astype(np.int64), b.text, 1, 0), [1, 2])

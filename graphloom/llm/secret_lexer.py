@@ -31,6 +31,8 @@ SECRET_WORDS = frozenset(
     "bearer basic credential credentials cred creds pem login signing private access license pat jwt otp pin salt cookie session".split()
 )
 STRONG_WORDS = frozenset("password passwd pwd pw pass passphrase passwort kennwort passe contraseña secret bearer credentials credential authorization apikey pem".split())
+#: Words that name a secret also at the end of a longer one, as in PGPASSWORD.
+STRONG_ENDS = ("password", "passwd", "passphrase", "passwort", "pwd")
 PUBLIC_WORDS = frozenset(
     "sha sha1 sha224 sha256 sha384 sha512 md5 crc hash checksum integrity digest etag commit pinned trace traceid spanid uuid guid rev revision "
     "fingerprint public publickey base64 image png svg rsa ed25519 ssh version baseline build blob tree ref nonce request span".split()
@@ -144,6 +146,8 @@ def kind_of(t: str) -> str:
         return "hyphenated"
     low = subwords(t)
     words = set(low)
+    if any(w.endswith(STRONG_ENDS) for w in low):
+        words.add("password")
     simple = IDENTIFIER.match(t) or regex.match(r"^[\p{L}_$][\w$]*(?:[-.][\p{L}_$][\w$]*)*$", t)
     changes = class_changes(t)
     if n >= 8 and CHOSEN.match(t) and not t.isupper() and not words & PUBLIC_WORDS:

@@ -10,7 +10,7 @@ import base64
 import random
 import string
 
-#: Number of generated lines (a documented bound of the training sample).
+#: Number of generated lines (a documented bound of the training sample); half as many with plain secrets come on top.
 TRAINING_LINES = 9000
 
 _ALNUM = string.ascii_letters + string.digits
@@ -22,6 +22,13 @@ PUBLIC_NAMES = "sha256 sha1 md5 checksum digest integrity etag commit traceId tr
 PLAIN_NAMES = "name title path file region owner layer kind url endpoint repo model channel target description id label status component".split()
 HOLDERS = "xxxxxxxxxxxx|XXXXXXXX|your-api-key-here|YOUR_API_KEY|YOUR_TOKEN|REPLACE_ME|changeme|<API_KEY>|<password>|insert-key-here|example|placeholder|********|****|sk-****|ghp_****|...|todo|REDACTED|[redacted]|<your-token>|none|my-secret-name|dummy-token|xxxx-xxxx-xxxx|enter-password-here|00000000|null".split("|")
 
+# Fixed values of plain secrets and their look-alikes: names of what people choose, common words, and what stands there instead.
+CHOSEN_NAMES = "password passwd pwd pass passphrase dbPassword db_pass adminPw rootPass smtpPassword DB_PASSWORD MYSQL_PWD PGPASSWORD ADMIN_PASSWORD sshPassphrase Passwort contraseña user_password".split()
+CONSTANT_NAMES = "PASSWORD DB_PASSWORD MYSQL_PWD PGPASSWORD ADMIN_PASSWORD ROOT_PASSWORD SSH_PASSPHRASE PASSWD SMTP_PASS PWD".split()
+COMMON = "sunshine dragon monkey summer winter orange purple garden window silver golden butter coffee battery horse correct staple mountain river tiger flower pepper ginger cookie hammer rocket planet castle forest ocean velvet copper marble candle lantern harbor meadow pencil guitar violin pocket ladder basket saddle anchor falcon turtle rabbit welcome letmein princess football shadow master qwerty secret hello freedom whatever".split()
+INSTEAD = "string str text int number boolean bool any None null true false undefined nil required optional hidden input value data field req body self this user form options config props params result response row await new process get".split()
+PROSE = "must be at least eight characters long|is required|is missing or invalid|has expired, please sign in again|does not match the confirmation|was changed by an administrator|should never be logged|cannot be empty|is read at start|field is hidden until the form is valid|to continue with the next step|for every new account|and never share it with others|is stored in the vault".split("|")
+
 
 class Lines:
     def __init__(self, seed: int):
@@ -264,8 +271,80 @@ class Lines:
         ]
         return [self.pick(options)()]
 
-    def line(self) -> list:
-        parts = self.positive() if self.r.random() < 0.5 else self.negative()
+    def common(self) -> str:
+        w = self.pick([*COMMON, self.syllables(), self.syllables()])
+        return self.pick([w, w, w.capitalize(), w.upper()]) if self.r.random() < 0.4 else w
+
+    def phrase(self, low: int = 3) -> str:
+        return " ".join(self.common().lower() for _ in range(self.r.randint(low, 6)))
+
+    def digits(self) -> str:
+        return self.chars(string.digits, 4, 15) + self.pick(["", "", "", self.chars(string.ascii_lowercase, 1, 3)])
+
+    def plain_positive(self) -> list:
+        """Secrets that are plain words, phrases or numbers."""
+        q, n, w = self.pick("\"'"), self.pick(CHOSEN_NAMES), self.word()
+        one = (self.pick([self.common, self.common, self.digits])(),)
+        text = (self.phrase(),) if self.r.random() < 0.4 else one
+        other = (self.pick([lambda: "-".join(self.hexa(k) for k in (8, 4, 4, 4, 12)), lambda: f"{self.common()}.{self.common()}", lambda: f"{self.common()}_{self.common()}", lambda: "-".join(self.common().lower() for _ in range(3))])(),)
+        options = [
+            lambda: [f"{self.pick(['', 'const ', 'let '])}{n} = {q}", text, f"{q}{self.pick(['', ';'])}"],
+            lambda: [f"{n}: {q}", text, f"{q}{self.pick(['', ','])}"],
+            lambda: [f'{{"user": "{w}", "{n}": "', text, '"}'],
+            lambda: [f"{self.pick(['export ', ''])}{self.pick(CONSTANT_NAMES)}=", one],
+            lambda: [f"{self.pick(CONSTANT_NAMES)}={q}", text, q],
+            lambda: [f"{n}: ", one],
+            lambda: [f"{n}:\n  {q}", self.pick([text, other]), q],
+            lambda: [f"{n}:\n  ", self.pick([one, other])],
+            lambda: [f"{n} =\n  {q}", self.pick([text, other]), f"{q};"],
+            lambda: [f"{n} = {q}", other, q],
+            lambda: [f"The passphrase {self.pick(['is', f'for {w} is', 'of the vault is'])} {q}", (self.phrase(),), f"{q}."],
+            lambda: [f"passphrase: ", (self.phrase(4),)],
+            lambda: [f"{w}.login({q}{self.word()}{q}, {q}", text, f"{q})"],
+            lambda: [f"{w}.setPassword({q}", text, f"{q})"],
+            lambda: [f"{self.pick(['url = ' + q, 'DATABASE_URL=', 'db: '])}{self.pick('postgres mysql mongodb amqps ftp'.split())}://{w}:", one, f"@{self.host()}/{self.word()}"],
+            lambda: [f"{self.pick(['user', 'login', 'username'])}: {w}, password: ", one],
+            lambda: [f"--password{self.pick([' ', '='])}", one, self.pick(["", f" --host {self.host()}"])],
+            lambda: [f"{self.pick(['pin', 'PIN', 'userPin', 'pin_code'])} {self.pick(['=', ':'])} {q}", (self.chars(string.digits, 4, 8),), q],
+            lambda: [f"The PIN {self.pick(['is', f'of {w} is', f'for {w} is'])} ", (self.chars(string.digits, 4, 8),), "."],
+        ]
+        return self.pick(options)()
+
+    def plain_negative(self) -> list:
+        """The same words, phrases and numbers where they grant nothing."""
+        q, n, w = self.pick("\"'"), self.pick(CHOSEN_NAMES), self.word()
+        soft = self.pick("key token session auth cookie login access license signing".split())
+        options = [
+            lambda: f"{n}: {self.pick(INSTEAD)}{self.pick(['', ',', ';'])}",
+            lambda: f"{n}: {q}{self.pick(INSTEAD)}{q}",
+            lambda: f"{n} = {self.pick(INSTEAD)}{self.pick(['', ';', '.' + n, '.' + w, '(' + w + ')'])}",
+            lambda: f"{n}={self.pick(INSTEAD)}.{n}",
+            lambda: f"{w}({self.word()}, {n}={self.pick([n, self.word()])})",
+            lambda: f"{{ {self.word()}, {n}: {self.pick([n, self.camel()])}, {self.word()}: {self.word()} }}",
+            lambda: f"throw new Error({q}{self.pick(['', 'The ', 'Your '])}{n} {self.pick(PROSE)}{q})",
+            lambda: f"log.{self.pick(['info', 'warn'])}({q}{self.phrase(1)} {self.pick([n, soft])} {self.phrase(1)}{q})",
+            lambda: f"{self.pick(['Your', 'The', 'A', 'This'])} {self.pick(['password', 'passphrase', 'token', 'secret', 'key'])} {self.pick(PROSE)}.",
+            lambda: f"{self.pick(['label', 'title', 'placeholder', 'hint'])}: {q}{self.pick(['Enter', 'Choose', 'Confirm', 'Reset'])} {self.pick(['your', 'a new'])} password{q}",
+            lambda: f"{n}{self.pick(['Label', 'Hint', 'Error', 'Title', 'Placeholder'])} = {q}{self.pick(['Enter', 'Choose', 'Forgot'])} {self.pick(['your password', 'a password', self.phrase(1)])}{q}",
+            lambda: f"{n}{self.pick(['MinLength', 'MaxAge', 'Length', '_min_length', 'Attempts'])} {self.pick(['=', ':'])} {self.r.randint(1, 99999)}",
+            lambda: f"{self.pick(['maxTokens', 'max_tokens', 'tokens', 'token_count', 'sessionTimeout', 'keySize', 'cookieMaxAge', 'tokenBudget', 'session_id', 'keyCode'])}{self.pick([': ', ' = ', '='])}{self.r.randint(1, 99999)}",
+            lambda: f"{soft}{self.pick([': ', ' = ', '='])}{q}{self.pick([self.common(), self.word(), self.phrase(2)])}{q}",
+            lambda: f"type: {q}password{q}, {self.word()}: {q}{self.common()}{q}",
+            lambda: f'<input type="password" {self.pick(["id", "class", "title"])}="{self.pick([self.common(), self.phrase(2)])}"/>',
+            lambda: f"{n}:\n  {self.pick(['type', 'name', 'description'])}: {self.pick(['string', self.common(), self.phrase(2)])}",
+            lambda: f"const {n} = await {self.word()}({q}{self.pick(['Enter ', 'Type '])}{self.phrase(1)}{q})",
+            lambda: f"{self.pick(['Passwords', 'Keys', 'Secrets', 'Tokens'])}:\n- {self.phrase(3)}",
+            lambda: f"if ({n} {self.pick(['===', '==', '!='])} {self.pick(INSTEAD)}) {self.camel()}()",
+            lambda: f"// {self.pick([n, soft])} {self.pick(PROSE)}\n{self.word()} = {q}{self.pick([self.common(), self.phrase(2)])}{q}",
+            lambda: f"validate({n}, {q}{self.common()}{q}, {self.r.randint(1, 9999)})",
+            lambda: f"headers[{q}{soft}{q}]; {w} = {q}{self.common()}{q}",
+            lambda: f"Step {self.r.randint(1, 9)}: read the {self.pick([n, soft])}, then {self.phrase(2)} {self.r.randint(1, 9999)} times.",
+            lambda: f"{self.const()}_URL=https://{self.host()}:{self.r.randint(1000, 9999)}/{w}",
+        ]
+        return [self.pick(options)()]
+
+    def line(self, plain: bool = False) -> list:
+        parts = (self.plain_positive() if plain else self.positive()) if self.r.random() < 0.5 else self.plain_negative() if plain else self.negative()
         if self.r.random() < 0.25:
             parts = [*self.negative(), self.pick(["\n", " ", "\n"]), *parts]
         if self.r.random() < 0.2:
@@ -274,11 +353,11 @@ class Lines:
 
 
 def training_texts(lines: int = TRAINING_LINES, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Texts with the character spans of their secrets."""
+    """Texts with the character spans of their secrets: ``lines`` of them, and half as many with plain secrets."""
     gen, out = Lines(seed), []
-    for _ in range(lines):
+    for k in range(lines + lines // 2):
         text, spans = "", []
-        for part in gen.line():
+        for part in gen.line(k >= lines):
             if isinstance(part, tuple):
                 spans.append((len(text), len(text) + len(part[0])))
                 text += part[0]
