@@ -99,6 +99,11 @@ def reachable(spark, d):
     return t.reachable(_links(spark, d), t.entry_points(nodes(spark, d)).where("reason = 'type:cron'").select("id"))
 
 
+def reachable_all(spark, d):
+    """What all entry points reach; ``reachable`` has those of type cron only, as its SQL states."""
+    return t.reachable(_links(spark, d), t.entry_points(nodes(spark, d)).select("id"))
+
+
 def transitively_dead(spark, d):
     return t.transitively_dead(nodes(spark, d), _links(spark, d))
 
@@ -176,7 +181,7 @@ def escalation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_hub, impact_severity, focus_subgraph, focus_hub, entry_points, reachable, transitively_dead,
+        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_hub, impact_severity, focus_subgraph, focus_hub, entry_points, reachable, reachable_all, transitively_dead,
         trace_paths, trace_hub, import_cycles, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
     )
 }
@@ -344,3 +349,4 @@ def _trace_hub_sql() -> str:
 
 
 SQL |= {"impact_hub": SQL["impact"].replace(_START, _HUB), "focus_hub": SQL["focus_subgraph"].replace(_START, _HUB), "trace_hub": _trace_hub_sql()}
+SQL["reachable_all"] = SQL["reachable"].replace("reason = 'type:cron'", "reason IS NOT NULL")

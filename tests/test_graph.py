@@ -86,6 +86,16 @@ def test_trace_has_directions_bridges_classes_and_five_hops(spark):
     assert routes("c2", 1, "both") == ["c2>c1", "c2>c3"]
 
 
+def test_reachable_all_starts_from_every_entry_point(spark, tmp_path):
+    from graphloom.plans import graph_queries as g
+
+    n = nodes(spark, ("a", "cron", None, None), ("b", "queue", None, None), ("c", "component", None, "src/main.ts"), *[(x, "component", None, f"src/{x}.ts") for x in ("x", "y", "z", "dead")])
+    e = edges(spark, ("a", "x"), ("b", "y"), ("c", "z"), ("dead", "x"))
+    for name, rows in (("components", n), ("connections", e)):
+        rows.withColumn("arrived_at", F.lit(T)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert ids(g.reachable_all(spark, str(tmp_path)), "id") == ["a", "b", "c", "x", "y", "z"]
+
+
 def test_cycles(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("d", "d"), ("d", "a"))
     assert ids(traverse.short_cycles(e), "cycle", "length") == [("a>b", 2), ("a>b>c", 3)]
