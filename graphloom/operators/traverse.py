@@ -163,12 +163,20 @@ def short_cycles(edges: DataFrame, limit: int = 3) -> DataFrame:
     return two.unionByName(three)
 
 
-def in_cycle(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """What is left after trimming nodes without incoming or outgoing edges until none is: every cycle lies within (column id)."""
+def in_cycle(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """What is left after trimming nodes without incoming or outgoing edges until none is: every cycle lies within (column id).
+
+    Each round trims both ends of a chain by one node. A bound that is reached is an error, as the rest is no core yet.
+    """
     p = cut(simple_edges(edges).where("src <> dst"))
     n = p.count()
-    for _ in range(max_rounds):
-        p = cut(p.join(p.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(p.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    rounds = 0
+    while n:
+        if rounds == max_rounds:
+            raise RuntimeError(f"trimming has not ended after {max_rounds} rounds; {n} edges are left")
+        rounds += 1
+        before, p = p, cut(p.join(p.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(p.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        drop_cut(before)
         m = p.count()
         if m == n:
             break

@@ -102,6 +102,13 @@ def test_cycles(spark):
     assert ids(traverse.in_cycle(e), "id") == ["a", "b", "c"]
 
 
+def test_trimming_ends_or_fails(spark):
+    chain = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(9)])
+    assert ids(traverse.in_cycle(chain), "id") == []
+    with pytest.raises(RuntimeError):
+        traverse.in_cycle(chain, 2)
+
+
 def test_pagerank_sums_to_one_and_is_suppressed_when_small(spark):
     n = nodes(spark, *[(f"n{i}", "component", None, None) for i in range(25)])
     e = edges(spark, *[(f"n{i}", f"n{(i * 7 + 1) % 25}") for i in range(20)], ("n1", "n1"), ("n2", "gone"), *[(f"n{i}", "n3") for i in range(10)])
