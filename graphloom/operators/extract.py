@@ -96,6 +96,13 @@ def package_of(target: Column) -> Column:
     return F.when(~target.rlike(r"^(\.|/|@/|~/)"), F.nullif(F.regexp_extract(target, r"^(@[^/]+/[^/]+|[^/:.]+)", 1), F.lit("")))
 
 
+def folded(path: Column) -> Column:
+    """A path with each .. taken off together with the folder before it; those that lead above the root stay."""
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(".."))
+    step = lambda done, s: F.when((s == "..") & (last(done) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative and aliased targets with the file they lead to: file_id, line, target, to_file (null if none).
 
@@ -104,8 +111,7 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     rel = found.where(F.col("target").rlike(r"^(\./|\.\./|@/)"))
     folder = F.regexp_replace(clean_path(F.col("file")), r"[^/]*$", "")
     joined = F.when(F.startswith("target", F.lit("@/")), F.concat(F.lit("src/"), F.expr("substr(target, 3)"))).otherwise(F.concat(folder, F.regexp_replace("target", r"^\./", "")))
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    joined = folded(joined)
     bare = F.regexp_replace(joined, r"\.(js|jsx)$", "")
     ends = [joined, *[F.concat(bare, F.lit(e)) for e in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")]]
     cand = rel.select("file_id", "line", "target", "repo", F.posexplode(F.array_distinct(F.array(*ends))).alias("at", "path"))

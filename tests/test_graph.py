@@ -285,6 +285,12 @@ def test_extraction(spark):
     assert ids(extract.compare_fields(a, b), "field", "verdict") == [("gone", "missing"), ("id", "match"), ("n", "mismatch"), ("new", "extra")]
 
 
+def test_deep_and_dotted_folders_are_folded(spark):
+    files = spark.createDataFrame([("r", "a/b/c/d/e/f/x.ts", 1, "typescript", "import y from '../../../../../../y'\nimport z from '../../../z'\n"), ("r", ".conf/in/w.ts", 2, "typescript", "import y from '../../y'\nimport q from '../../../q'\n"), ("r", "y.ts", 3, "typescript", None), ("r", "a/b/c/z.ts", 4, "typescript", None)], "repo string, file string, file_id long, code_lang string, content string")
+    got = extract.resolve_imports(extract.imports(files), files)
+    assert ids(got, "file_id", "line", "to_file") == [(1, 1, "y.ts"), (1, 2, "a/b/c/z.ts"), (2, 1, "y.ts"), (2, 2, None)]
+
+
 def test_document_links(spark):
     text = "---\nid: page\ndepends_on: [one, \"two\"]\n---\n# T\nsee [[A|alias]] and `[[no]]` [x](./y.md#z)\n```\n[[code]]\n```\n![i](p.png) [w](https://x) [[B.md]]\n"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
