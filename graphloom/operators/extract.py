@@ -85,10 +85,16 @@ def first_pattern(text: Column, patterns) -> Column:
     return out
 
 
+#: Where a line holds several statements, one may also begin after a semicolon or a closing brace.
+STATEMENTS = tuple((k, p.replace(r"^\s*", r"(?:^|[;}])\s*", 1).replace(r"\s*$", r"\s*(?:$|(?=;))", 1).replace(r"[^'\"]*from", r"[^'\";]*from", 1)) for k, p in IMPORTS)
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """Import statements: file_id, repo, file, line, kind, target."""
-    found = lines_of(files, "file_id", "content", "repo", "file").select("file_id", "repo", "file", "line", first_pattern(F.col("content"), IMPORTS).alias("i")).where("i is not null")
-    return found.select("file_id", "repo", "file", "line", "i.kind", F.col("i.value").alias("target"))
+    """Import statements, all of a line and a repeated one each time: file_id, repo, file, line, kind, target."""
+    lines = lines_of(files, "file_id", "content", "repo", "file").select("file_id", "repo", "file", "line", "content")
+    hits = lambda kind, p: F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("target")))
+    found = lines.select("file_id", "repo", "file", "line", F.explode(F.concat(*[hits(k, p) for k, p in STATEMENTS])).alias("i"))
+    return found.select("file_id", "repo", "file", "line", "i.kind", "i.target")
 
 
 def package_of(target: Column) -> Column:
@@ -166,9 +172,9 @@ def env_category(name: Column) -> Column:
 
 
 def addresses(rows: DataFrame, key: str, code: str) -> DataFrame:
-    """The first connection address of each text: key, protocol, host, port, database, path, resource. Userinfo is not kept."""
-    part = lambda i: F.nullif(F.regexp_extract(code, ADDRESS, i), F.lit(""))
-    got = rows.where(F.col(code).rlike(ADDRESS)).select(key, part(1).alias("protocol"), F.lower(part(2)).alias("host"), part(3).cast("int").alias("port"), part(4).alias("p"))
+    """The connection addresses of each text: key, protocol, host, port, database, path, resource. Userinfo is not kept."""
+    part = lambda i: F.nullif(F.regexp_extract("a", ADDRESS, i), F.lit(""))
+    got = rows.where(F.col(code).rlike(ADDRESS)).select(key, F.explode(F.regexp_extract_all(code, F.lit(ADDRESS), F.lit(0))).alias("a")).select(key, part(1).alias("protocol"), F.lower(part(2)).alias("host"), part(3).cast("int").alias("port"), part(4).alias("p"))
     web, p = F.col("protocol").isin("http", "https"), F.when(F.col("p") != "/", F.col("p"))
     resource = F.lit(None).cast("string")
     for name, protocols in RESOURCES.items():
@@ -180,9 +186,10 @@ def queue_roles(rows: DataFrame, key: str, code: str) -> DataFrame:
     """Producers and consumers of queues: key, role, queue, job, concurrency."""
     produce, consume = r"([A-Za-z_][A-Za-z0-9_]*)Queue\.add\(\s*['\"`]([^'\"`]+)['\"`]", r"new Worker\(\s*['\"`]([^'\"`]+)['\"`]\s*,\s*([A-Za-z_][A-Za-z0-9_]*)"
     text = F.col(code)
-    row = lambda role, p: F.when(text.rlike(p), F.struct(F.lit(role).alias("role"), F.regexp_extract(text, p, 1).alias("queue"), F.regexp_extract(text, p, 2).alias("job")))
-    found = rows.select(key, text.alias("t"), F.explode(F.array_compact(F.array(row("producer", produce), row("consumer", consume)))).alias("r"))
-    limit = F.when(F.col("r.role") == "consumer", F.nullif(F.regexp_extract("t", r"concurrency:\s*([0-9]+)", 1), F.lit("")).cast("int"))
+    # a hit reaches to the next one of its role, so that each worker has its own options
+    row = lambda role, p: F.transform(F.regexp_extract_all(text, F.lit(rf"(?s){p}(?:(?!{p}).)*"), F.lit(0)), lambda h: F.struct(F.lit(role).alias("role"), F.regexp_extract(h, p, 1).alias("queue"), F.regexp_extract(h, p, 2).alias("job"), h.alias("t")))
+    found = rows.where(text.rlike(produce) | text.rlike(consume)).select(key, F.explode(F.concat(row("producer", produce), row("consumer", consume))).alias("r"))
+    limit = F.when(F.col("r.role") == "consumer", F.nullif(F.regexp_extract("r.t", r"concurrency:\s*([0-9]+)", 1), F.lit("")).cast("int"))
     return found.select(key, "r.role", "r.queue", "r.job", limit.alias("concurrency"))
 
 

@@ -291,6 +291,15 @@ def test_deep_and_dotted_folders_are_folded(spark):
     assert ids(got, "file_id", "line", "to_file") == [(1, 1, "y.ts"), (1, 2, "a/b/c/z.ts"), (2, 1, "y.ts"), (2, 2, None)]
 
 
+def test_every_import_role_and_address_of_a_line(spark):
+    line = "import a from 'a';import{b}from'./b';import 'c';const d=require('d'),e=require('e');f(import('f'))"
+    files = spark.createDataFrame([("r", "x.js", 1, "javascript", line.replace("{b}from", "{b} from ").replace("import{", "import {") + "\nimport os; import sys\n")], "repo string, file string, file_id long, code_lang string, content string")
+    assert ids(extract.imports(files), "line", "kind", "target") == [(1, "dynamic", "f"), (1, "from", "./b"), (1, "from", "a"), (1, "require", "d"), (1, "require", "e"), (1, "side-effect", "c"), (2, "module", "os"), (2, "module", "sys")]
+    code = spark.createDataFrame([(1, "aQueue.add('x'); bQueue.add('y'); new Worker('q', f, { concurrency: 2 }); new Worker('p', g); new Worker('o', h, { concurrency: 7 })"), (2, None), (3, "redis://h1:1/2 https://h2/p")], "seq long, code string")
+    assert ids(extract.queue_roles(code, "seq", "code").na.fill(-1), "queue", "job", "concurrency") == [("a", "x", -1), ("b", "y", -1), ("o", "h", 7), ("p", "g", -1), ("q", "f", 2)]
+    assert ids(extract.addresses(code, "seq", "code"), "host", "resource") == [("h1", "cache"), ("h2", "api")]
+
+
 def test_document_links(spark):
     text = "---\nid: page\ndepends_on: [one, \"two\"]\n---\n# T\nsee [[A|alias]] and `[[no]]` [x](./y.md#z)\n```\n[[code]]\n```\n![i](p.png) [w](https://x) [[B.md]]\n"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
