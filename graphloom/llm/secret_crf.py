@@ -198,7 +198,7 @@ def features(b: Batch, rows: np.ndarray | None = None) -> np.ndarray:
 def allowed(b: Batch) -> np.ndarray:
     """Tokens that may be secret at all: literals; words, names and numbers that follow a word for credentials in their
     line or the line before, that are quoted or assigned in a line with such a word, or that are the password of an
-    address; and marks inside one of these (no white space around)."""
+    address; and marks inside one of these (no white space around) or, up to two, right before one that is assigned."""
     k1, n1 = _near(b.kind, b.text, -1, len(KIND)), _near(b.kind, b.text, 1, len(KIND))
     first, above = _line_starts(b)
     lines = int(b.line[-1]) + 1 if len(b.line) else 0
@@ -211,8 +211,12 @@ def allowed(b: Batch) -> np.ndarray:
     candidate = _CANDIDATE[b.kind] & ~np.isin(b.kind, _WEAK) | soft
     touch = _near(b.end, b.text, -1, -1) == b.start
     glue = np.isin(b.kind, _GLUE) & touch & (_near(b.start, b.text, 1, -1) == b.end)
-    inside = glue & np.isin(_near(candidate.astype(np.int64), b.text, -1, 0) + _near(candidate.astype(np.int64), b.text, 1, 0), [1, 2])
-    return candidate | inside
+    beside = _near(candidate.astype(np.int64), b.text, -1, 0) + _near(candidate.astype(np.int64), b.text, 1, 0)
+    mark = (b.kind == _IS["operator"]) & (_near(b.start, b.text, 1, -1) == b.end)
+    leads = mark & _near(candidate.astype(bool), b.text, 1, 0).astype(bool)
+    leads |= mark & _near(leads, b.text, 1, 0).astype(bool)
+    leads &= np.isin(k1, [_IS["quote"], _IS["assign"]]) | _near(leads, b.text, -1, 0).astype(bool)
+    return candidate | leads | glue & (beside >= np.where(b.kind == _IS["dollar"], 2, 1))  # a dollar before a name is a reference
 
 
 def _steps(line: np.ndarray):
@@ -318,17 +322,22 @@ def train(lines: int = TRAINING_LINES, seed: int = 7, rounds: int = 60, rate: fl
     b = tokenize([t for t, _ in sample], TokenTable())
     y = gold(b, [s for _, s in sample])
     may = allowed(b)
-    y &= may
-    x = features(b)
+    busy = np.zeros(int(b.line[-1]) + 1, bool)
+    busy[b.line[may]] = True
+    keep = busy[b.line]  # lines without a token that may be secret have one labelling only and teach nothing
+    x = features(b, may)
+    y, may, line = (y & may)[keep], may[keep], b.line[keep]
+    score = np.zeros(len(y))
     weights, trans = np.zeros(1 << FEATURE_BITS), np.zeros((2, 2))
-    pairs = b.line[1:] == b.line[:-1]
+    pairs = line[1:] == line[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][pairs].astype(int), y[1:][pairs].astype(int)), 1)
     g2, t2 = np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
     flat = x.ravel()
     for _ in range(rounds):
-        p, expected = _marginals(weights[x].sum(1), may, trans, b.line)
-        grad = np.bincount(flat, weights=np.repeat(y - np.where(may, p, 0), x.shape[1]), minlength=len(weights)) - l2 * weights
+        score[may] = weights[x].sum(1)
+        p, expected = _marginals(score, may, trans, line)
+        grad = np.bincount(flat, weights=np.repeat((y - p)[may], x.shape[1]), minlength=len(weights)) - l2 * weights
         tgrad = seen - expected - l2 * trans
         g2 += grad**2
         t2 += tgrad**2

@@ -10,13 +10,19 @@ import base64
 import binascii
 import math
 from collections import Counter
+from functools import lru_cache
 
 import regex
 
-# White space between tokens is skipped; a key block is one token with all its lines.
-TOKEN = regex.compile(
-    r"-----BEGIN [A-Z0-9 ]+-----(?:[A-Za-z0-9+/=\s]|\\[nrt])*(?:-----END [A-Z0-9 ]+-----)?"
-    r"|\n|://"
+# White space between tokens is skipped; a key block is one token with all its lines, however its literals are joined.
+_BLOCKS = (
+    r"-----BEGIN (?P<head>[A-Z0-9 ]+)-----(?:(?!-----)[^\0])*+-----END (?P=head)-----"
+    r"|-----BEGIN [A-Z0-9 ]+-----(?:[A-Za-z0-9+/=\s]|\\[nrt])*"
+)
+# A quoted literal without white space, with digits and marks; it is one token if ``whole_literal`` says so.
+_LITERALS = r"(?<=^|[\s=:(\[,{+?>])(?P<quote>[\"'`])(?P<literal>(?=[^\s\"'`]*[^\s\"'`\w])(?=[^\s\"'`]*\d|[^\s\"'`]*\\)(?:\\[^\s]|(?!(?P=quote))[^\s\\]){6,200})(?=(?P=quote))"
+_PLAIN = (
+    r"\n|://"
     r"|[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z0-9_-]{20,}"  # dotted tokens
     r"|[A-Za-z0-9+/_-]{14,}==(?![\w=])|[A-Za-z0-9+/_-]{14,}=(?![\w\"'`$<{(\[=])"  # base64 with its padding
     r"|(?=[A-Za-z+/]*\d)(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{14,}=(?=[\"'`])"
@@ -24,6 +30,12 @@ TOKEN = regex.compile(
     r"|\*{3,}[\w*-]*"
     r"|[^\s]"
 )
+TOKEN, _PARTS = regex.compile(f"{_BLOCKS}|{_LITERALS}|{_PLAIN}"), regex.compile(_PLAIN)
+# Marks by which a literal is more than one value: addresses, templates, pairs, lists, calls, paths, mail addresses and patterns.
+_STRUCTURE = regex.compile(
+    r"://|[{}<>;,]|\$\(|=(?=[^=])|:(?!$)|^\.{0,2}/|^[A-Za-z]:\\|^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$|^@?[\w.-]+(?:/[\w.@-]+)+$"
+    r"|[A-Za-z_$.]{3,}\(|\(\?|(?<!\\)\\[dwsbpDWSBnrtux]|\[\^|\w-\w\]|^\^|%[sd]|&\w+="
+)
 
 # Subwords that name credentials, things that look like them, and places they are taken from.
 SECRET_WORDS = frozenset(
@@ -41,7 +53,7 @@ REFERENCE_WORDS = frozenset("env environ getenv vault ref secretref arn ssm keyr
 FILLER = regex.compile(r"(?i)^(?:x+|\*+|\.+|0+|1+|(?:x+[-_])+x+|(?:your|insert|enter|replace|change|fill|put|add|some|example|sample|dummy|fake|test|placeholder|redacted|masked|hidden|todo|tbd|none|null|undefined|changeme|foo|bar)(?:[-_. ]?(?:\w+))*)$")
 FILLER_WORDS = frozenset("your insert replace changeme change placeholder example sample dummy fake redacted masked hidden here todo enter".split())
 PREFIXES = regex.compile(
-    r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|ghu_|ghr_|github_pat_|glpat-|npm_|pypi-|sk-|pk-|rk_|sk_|pk_|xox[abprs]-|SG\.|hf_|dop_v1_|shpat_|tok_|vlt\.|hvs\.|ya29\.|eyJ|EAAC|qz-|key-|whsec_|lin_|dckr_pat_|sq0|AGE-)"
+    r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|ghu_|ghr_|github_pat_|glpat-|npm_|pypi-|sk-|pk-|rk_|sk_|pk_|xox[abprs]-|SG\.|hf_|dop_v1_|shpat_|tok_|hvs\.|ya29\.|eyJ|EAAC|key-|whsec_|lin_|dckr_pat_|sq0|AGE-)"
 )
 GENERIC_PREFIX = regex.compile(r"^[A-Za-z]{2,6}[-_.](?:(?:prod|live|test|dev|svc|proj|int)[-_])?(?=[A-Za-z0-9]{16,})")
 KEY_ID = regex.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{2,16}$")
@@ -91,6 +103,29 @@ def class_changes(text: str) -> int:
     return n
 
 
+# A line of a key block that describes it, as "Proc-Type: 4,ENCRYPTED"; line ends may be escaped.
+_BLOCK_HEADER = regex.compile(r"(?:^|\n|\\n|[\"'`])[^\S\n]*[A-Z][A-Za-z-]+: [^\n\\\"'`]*")
+_BLOCK_RUN = regex.compile(r"(?:\\[nrt])+|(?P<run>[A-Za-z0-9+/=]+)|[^\s]")
+
+
+def key_material(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The runs of key material of a key block, between its BEGIN and END marks: line ends (also escaped) and lines that
+    describe it are left out, and where it is joined from literals, so is what stands between them."""
+    head = text.index("-----", start + 10) + 5
+    tail = text.rfind("-----END", head, end)
+    stop = tail if tail >= 0 else end
+    described = [m.span() for m in _BLOCK_HEADER.finditer(text, head, stop)]
+    out, opened, within = [], None, True
+    for m in _BLOCK_RUN.finditer(text, head, stop):
+        if m["run"] is None:
+            c = m.group()
+            if c in "\"'`" and opened in (None, c):
+                opened, within = c, not within
+        elif within and not any(lo <= m.start() < hi for lo, hi in described):
+            out.append(m.span())
+    return out
+
+
 def _userinfo(text: str) -> bool:
     if len(text) < 12:
         return False
@@ -106,8 +141,7 @@ def kind_of(t: str) -> str:
     if len(t) <= 3 and t in _MARKS:
         return _MARKS[t]
     if t.startswith("-----BEGIN"):
-        head = t[: t.find("-----", 10)]
-        return "pem_private" if "PRIVATE" in head and len(t) > 60 else "pem_public"
+        return "pem_private" if "PRIVATE" in t[: t.find("-----", 10)] and sum(hi - lo for lo, hi in key_material(t, 0, len(t))) >= 20 else "pem_public"
     if len(t) == 1 and not t.isalnum():
         return "operator"
     if "***" in t or "•••" in t or "..." in t:
@@ -196,10 +230,36 @@ def kind_of(t: str) -> str:
     return "other"
 
 
+@lru_cache(maxsize=1 << 14)
+def whole_literal(t: str) -> bool:
+    """Whether a quoted literal is one value: letters, digits and marks in turn without structure, and not a name, flag
+    or reference behind its leading marks."""
+    if _STRUCTURE.search(t) or class_changes(t) < 3 or not any(map(str.isalpha, t)):
+        return False
+    core = t.lstrip("$@#%.!*-")
+    return not regex.fullmatch(r"[\w.-]+", core) or KIND[kind_of(core)] in _VALUES
+
+
+#: Kinds that no name or flag has.
+_VALUES = CANDIDATES - {KIND[k] for k in ("identifier", "dotted", "path", "constant", "hyphenated", "uuid")}
+
+
 def lex(text: str) -> tuple[list[str], list[int]]:
     """Tokens of a text and the character position of each."""
     tokens, at = [], []
     for m in TOKEN.finditer(text):
-        tokens.append(m.group())
+        literal = m["literal"]
+        if literal is None:
+            tokens.append(m.group())
+            at.append(m.start())
+            continue
+        tokens.append(m["quote"])
         at.append(m.start())
+        if whole_literal(literal):
+            tokens.append(literal)
+            at.append(m.start("literal"))
+        else:
+            for part in _PARTS.finditer(text, m.start("literal"), m.end("literal")):
+                tokens.append(part.group())
+                at.append(part.start())
     return tokens, at

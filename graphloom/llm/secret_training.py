@@ -11,7 +11,7 @@ import random
 import string
 
 #: Number of generated lines (a documented bound of the training sample); half as many with plain secrets come on top.
-TRAINING_LINES = 9000
+TRAINING_LINES = 12000
 
 _ALNUM = string.ascii_letters + string.digits
 _B64 = _ALNUM + "+/"
@@ -72,11 +72,20 @@ class Lines:
         a, b, mark = self.word(), self.word(), self.pick("-_.!#$%+")
         return self.pick([f"{a.capitalize()}{mark}{b}{self.r.randint(10, 9999)}", f"{self.syllables()}{b.upper()}{self.r.randint(10, 99)}", f"{a}{self.r.randint(100, 99999)}{self.pick('!#$')}", self.mixed(10, 22, _ALNUM + "!%*_-+")])
 
+    def user(self) -> str:
+        w, d = self.word(), self.chars(string.digits, 0, 2)
+        return self.pick([w, w + d, f"{w}_{self.word()}{d}", f"{self.chars(string.ascii_lowercase, 2)}_{w}{d}", "admin", "root", "app"])
+
+    def marked(self, q: str) -> str:
+        """A password with marks anywhere, written as a literal in the quotes ``q``."""
+        t = self.chars("-!#$%^&*~@?|.+/()[]_", 0, 2) + self.mixed(8, 18, _ALNUM + "!%*_-+@?|&#()[]\\" + q)
+        return t.replace("\\", "\\\\").replace(q, "\\" + q)
+
     def machine(self) -> str:
         """A key that a service issued."""
         kind = self.r.randrange(13)
         if kind < 4:
-            prefix = self.pick("ghp_ gho_ ghs_ glpat- npm_ sk- sk-proj- sk-svc- rk_live_ sk_live_ tok_ vlt. hf_ xoxb-1234567890- qz-prod- acme_live_ shp-test-".split())
+            prefix = self.pick("ghp_ gho_ ghs_ glpat- npm_ sk- sk-proj- sk-svc- rk_live_ sk_live_ tok_ hf_ xoxb-1234567890- acme_live_ shp-test- mvx. ub-prod- ktr-".split())
             return prefix + self.mixed(20, 44)
         if kind == 4:
             return self.pick(["AKIA", "ASIA"]) + self.chars(string.ascii_uppercase + string.digits, 16)
@@ -113,7 +122,7 @@ class Lines:
         if self.r.random() < 0.35:
             n = self.pick([f"{w}_{n}", f"{w.upper()}_{n.upper()}", w + n[0].upper() + n[1:]])
         m = (m(),)
-        a = self.r.randrange(40)
+        a = self.r.randrange(41)
         if a == 0:
             return [f"{n} = {q}", s, q]
         if a == 1:
@@ -136,7 +145,7 @@ class Lines:
             pair = base64.b64encode(f"{w}:{p[0]}".encode()).decode()
             return [self.pick([f"req.set('Authorization', 'Basic ", "headers: { Authorization: 'Basic "]), (pair,), self.pick(["')", "' }"])]
         if a == 10:
-            return [f"{self.pick(['url: ', 'const db = connect(' + q, 'Database: ', 'DATABASE_URL=', ''])}{self.pick('postgres mysql mongodb+srv amqps https ftp'.split())}://{w}{self.r.randint(0, 9)}:", p, f"@{self.host()}{self.pick(['', ':8443', ':5432'])}/{self.word()}{self.pick(['', q + ');'])}"]
+            return [f"{self.pick(['url: ', 'const db = connect(' + q, 'Database: ', 'DATABASE_URL=', ''])}{self.pick('postgres mysql mongodb+srv postgresql+asyncpg amqps https ftp'.split())}://{self.pick([w + self.chars(string.digits, 1), self.user()])}:", p, f"@{self.host()}{self.pick(['', ':8443', ':5432'])}/{self.word()}{self.pick(['', q + ');'])}"]
         if a == 11:
             return [f"{self.pick(['const db = connect(' + q, 'CACHE=', 'Database: '])}redis://:", p, f"@{self.host()}:6379/{self.r.randint(0, 3)}"]
         if a == 12:
@@ -196,6 +205,8 @@ class Lines:
             return [f"Use {self.pick(['token', 'API key', 'the key', 'access token'])} ", m, f" for {w}."]
         if a == 38:
             return [f"{n} {self.pick(['is', '=>', ':='])} {self.pick(['', q])}", s]
+        if a == 39:
+            return [f"{self.pick(['(', '', '- ', '['])}{self.pick('temporary temp current new old shared internal staging rotated demo'.split())}{self.pick([')', ':', ' value', ']', ' one:'])} ", m, self.pick(["", "", ".", f" ({w})"])]
         return [f"{self.pick(['username', 'user'])}: {w}, {self.pick(['password', 'pass', 'pwd'])}: {q2}", p, q2]
 
     def negative(self) -> list:
@@ -265,6 +276,7 @@ class Lines:
             lambda: f"{w}-{self.word()}-{self.word()} timed out after {self.r.randint(1, 300)} seconds.",
             lambda: f"file: dist/{w}.{self.hexa(8, 20)}.js",
             lambda: f"color: #{self.hexa(6, 8)};",
+            lambda: f"{self.pick(['(', '', '- ', '['])}{self.pick('current new old commit build release digest trace batch id'.split())}{self.pick([')', ':', ']'])} {self.pick([uuid, self.hexa(7, 12, 40, 64), f'v{self.r.randint(0, 9)}.{self.r.randint(0, 99)}.{self.r.randint(0, 99)}', self.word(), f'{w}-{self.word()}'])}",
             lambda: f"expect({w}.token).toEqual({q2}{hold}{q2})",
             lambda: f"// the {self.pick(['token', 'key', 'password'])} is read from {self.pick(['the vault', 'the environment', 'keyring'])} at start",
             lambda: f"{w}.{self.word()}.{self.pick(['key', 'token', 'secret'])} = {w}.{self.camel()}({self.word()})",
@@ -343,8 +355,51 @@ class Lines:
         ]
         return [self.pick(options)()]
 
+    def marked_positive(self) -> list:
+        """Passwords with marks in any place, phrases with marks, and chosen ones in addresses."""
+        q, n, w = self.pick("\"'"), self.pick(CHOSEN_NAMES), self.word()
+        s = (self.marked(q),)
+        bare = (self.chars("-!#$%^&*~+", 0, 2) + self.mixed(10, 20, _ALNUM + "!%*_-+"),)
+        leet = lambda t: "".join({"a": "@", "o": "0", "e": "3", "i": "1"}.get(c, c) if self.r.random() < 0.5 else c for c in t)
+        phrase = (" ".join(self.pick([leet(self.common()), self.common(), leet(self.common()) + self.pick("!#%?") + self.chars(string.digits, 1, 3)]) for _ in range(self.r.randint(2, 4))),)
+        chosen = (self.pick([self.common().lower() + self.chars(string.digits, 1, 4), leet(self.common()), self.human()]),)
+        options = [
+            lambda: [f"{self.pick(['', 'const ', 'let ', '$'])}{n} = {q}", s, f"{q}{self.pick(['', ';'])}"],
+            lambda: [f"{n}: {q}", s, f"{q}{self.pick(['', ','])}"],
+            lambda: [f"{n}{self.pick([': ', '=', ' = '])}", bare, self.pick(["", f"\nhost: {self.host()}"])],
+            lambda: [f"curl -s -u {w}:", bare, f" https://{self.host()}/{self.word()}"],
+            lambda: [f'{{"{n}": "', (self.marked('"'),), f'", "{w}": {self.r.randint(1, 99)}}}'],
+            lambda: [f"{w}.login({q}{self.word()}{q}, {q}", s, f"{q})"],
+            lambda: [f"{w}.{self.pick(['setPassword', 'authenticate', 'unlock'])}({q}", s, f"{q})"],
+            lambda: [f"{self.pick(CONSTANT_NAMES)}={q}", self.pick([s, phrase]), q],
+            lambda: [f"{n} = {q}", phrase, q],
+            lambda: [f"{self.pick(['url = ' + q, 'DATABASE_URL=', 'db: ', ''])}{self.pick('postgres mysql mongodb amqps ftp https postgresql+asyncpg mongodb+srv mysql+pymysql'.split())}://{self.user()}:", chosen, f"@{self.pick([self.host(), 'localhost', 'db.host'])}/{self.word()}"],
+        ]
+        return self.pick(options)()
+
+    def marked_negative(self) -> list:
+        """Literals full of marks that grant nothing: patterns, selectors, formats, packages, addresses, references."""
+        q, n, w = self.pick("\"'"), self.pick([*CHOSEN_NAMES, *PLAIN_NAMES, *PLAIN_NAMES]), self.word()
+        d = self.r.randint(2, 99)
+        odd = self.pick([f"^[a-z0-9]{{{d},}}$", f"#{w}-{d} .{self.word()}", f"*.{w}{d}.js", f"{w}[{d}].{self.word()}", f"%0{d}d-%s", f"@{w}/{self.word()}-{d}", f"{w}@{d}.{d}.1", f"#/definitions/{self.name()}{d}", f"a|b|c{d}", f"{w}?page={d}&size={d}", f"{d}px-{d}px", f"~{w}/{self.word()}{d}", f"+{self.chars(string.digits, 11)}", f"v{d}.{d}.0-rc.{d}", f"{w}_{d}_%Y-%m-%d"])
+        options = [
+            lambda: f"{self.pick(PLAIN_NAMES)} = {q}{odd}{q}",
+            lambda: f"{n}{self.pick(['Pattern', 'Selector', 'Format', 'Path', 'Column'])}: {q}{odd}{q}",
+            lambda: f"{n} = {q}${self.pick([self.const(), self.camel()])}{q}",
+            lambda: f"{n}={q}${{{self.const()}}}{q}",
+            lambda: f"{w}({q}--{self.pick(['password', 'token', 'secret-file', self.word() + str(d)])}{q}, {n})",
+            lambda: f"fetch({q}https://{self.host()}:{self.r.randint(80, 9999)}/{w}/{d}{q})",
+            lambda: f"{self.pick(['to', 'from', 'cc', 'author'])}: {q}{w}{d}@{self.host()}{q}",
+            lambda: f"url: {q}{self.pick(['postgres', 'mysql', 'https'])}://{self.pick(['user', 'username', w])}:{self.pick(['$DB_PASSWORD', '<password>', '${PASSWORD}', '****', 'password', '{password}'])}@{self.host()}/{w}{q}",
+            lambda: f"ssh git@{self.host()}:{w}/{self.word()}.git",
+        ]
+        return [self.pick(options)()]
+
     def line(self, plain: bool = False) -> list:
-        parts = (self.plain_positive() if plain else self.positive()) if self.r.random() < 0.5 else self.plain_negative() if plain else self.negative()
+        kinds = (self.plain_positive, self.plain_negative) if plain else (self.positive, self.negative)
+        if plain and self.r.random() < 0.4:
+            kinds = (self.marked_positive, self.marked_negative)
+        parts = kinds[self.r.random() >= 0.5]()
         if self.r.random() < 0.25:
             parts = [*self.negative(), self.pick(["\n", " ", "\n"]), *parts]
         if self.r.random() < 0.2:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import spread
 from . import secret_crf
-from .secret_lexer import KIND
+from .secret_lexer import KIND, key_material
 
 MASK = "REDACTED"
 _PEM = KIND["pem_private"]
@@ -18,28 +18,8 @@ _PEM = KIND["pem_private"]
 BLOCK_CHARS = 4_000_000
 
 
-def _pem_body(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The key material of a key block: its lines between the BEGIN and END marks, line ends (also escaped) left out."""
-    head = text.index("-----", start + 10) + 5
-    tail = text.rfind("-----END", head, end)
-    out, i, stop = [], head, tail if tail >= 0 else end
-    while i < stop:
-        c = text[i]
-        if c.isspace():
-            i += 1
-        elif c == "\\" and i + 1 < stop:
-            i += 2
-        else:
-            j = i
-            while j < stop and not text[j].isspace() and text[j] != "\\":
-                j += 1
-            out.append((i, j))
-            i = j
-    return out
-
-
 def spans_of(texts: list[str], field: secret_crf.Field, table: secret_crf.TokenTable) -> list[list[tuple[int, int]]]:
-    """Character spans of the credentials of each text, in order; adjoining secret tokens are one span."""
+    """Character spans of the credentials of each text, in order; adjoining secret tokens are one span, marks alone are none."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     block, held = [], 0
     groups = []
@@ -58,12 +38,12 @@ def spans_of(texts: list[str], field: secret_crf.Field, table: secret_crf.TokenT
             lo, hi = int(b.start[k]), int(b.end[k])
             own = out[i]
             if b.kind[k] == _PEM:
-                own.extend(_pem_body(texts[i], lo, hi))
+                own.extend(key_material(texts[i], lo, hi))
             elif own and own[-1][1] == lo:
                 own[-1] = (own[-1][0], hi)
             else:
                 own.append((lo, hi))
-    return out
+    return [[(lo, hi) for lo, hi in own if any(map(str.isalnum, t[lo:hi]))] for t, own in zip(texts, out)]
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str = MASK) -> str:
