@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -17,79 +19,119 @@ STATISTICS = ("lines", "max_line", "mean_line", "space_share", "alnum_share", "n
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of one language: lines longer and white space rarer than people write, and so on."""
+    """Thresholds of one language, outside what people write in it.
 
-    dense_line: float = 200.0  # mean characters of a line in dense code ...
-    dense_space: float = 0.08  # ... with less white space than this
-    packed_space: float = 0.045  # white space of minified code whatever its lines
-    number_density: float = 0.55  # numbers among all words of a table
+    White space, letters and digits among the other characters, and line shapes are what differs most by language
+    (indentation, braces, marks, derived attributes). The thresholds of white space lie 0.01 to 0.02 below the least
+    among 32,600 hand-written test files; those of letters and digits lie far outside these (0.75 to 0.90), where all
+    but 1 in 100 of 2,500 published source files of Python and TypeScript are too.
+    """
+
+    long_line: float = 120.0  # minified code has a line longer than this ...
+    dense_line: float = 100.0  # ... and lines of this mean length, or is packed
+    packed_space: float = 0.093  # white space of packed code
+    alnum_low: float = 0.62  # letters and digits among all that is not white space
+    alnum_high: float = 0.94
+    number_density: float = 0.6  # words that begin with a digit
     encoded_share: float = 0.5  # characters inside long encoded runs
-    skeleton_share: float = 0.85  # lines that follow the three commonest line shapes
-    skeleton_lines: int = 16
+    skeleton_share: float = 0.83  # code lines that follow the three commonest line shapes
     logic_density: float = 0.004  # words of program logic in pure data
-    comment_share: float = 0.03
-    data_chars: int = 400
+    has_logic: bool = True  # whether the language has program logic at all, so that its absence says something
 
 
-#: Tuned per language; a null or other language takes the default.
+#: Tuned per language; a null or other language takes the default, which is the loosest.
 LIMITS: dict[str | None, Limits] = {
-    "javascript": Limits(),
-    "typescript": Limits(),
-    "python": Limits(dense_space=0.09, packed_space=0.05),
-    "css": Limits(dense_line=150.0, dense_space=0.10, packed_space=0.06, number_density=0.75, skeleton_share=1.01, data_chars=1 << 40),
-    "rust": Limits(skeleton_share=0.88),
-    "swift": Limits(skeleton_share=0.88),
+    "javascript": Limits(packed_space=0.097, alnum_low=0.68, alnum_high=0.92),
+    "typescript": Limits(packed_space=0.099, alnum_low=0.68, alnum_high=0.92),
+    "python": Limits(packed_space=0.093, alnum_low=0.62, alnum_high=0.94),
+    "rust": Limits(packed_space=0.096, alnum_low=0.68, alnum_high=0.92, skeleton_share=0.87),
+    "swift": Limits(packed_space=0.165, alnum_low=0.71, alnum_high=0.92),
+    "css": Limits(packed_space=0.11, alnum_low=0.0, alnum_high=1.0, number_density=0.75, has_logic=False),  # hardly a hand-written one to measure
 }
 
-_SPACE, _WORDS = regex.compile(r"\s"), regex.compile(r"\d[\w.]*|[^\W\d]\w*")
-_RUN = regex.compile(r"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9A-Fa-f]{2}){12,}|(?:0x[0-9A-Fa-f]{1,8},?\s*){12,}|(?:\\u[0-9A-Fa-f]{4}){10,}")
+#: A table has this many numbers, repeated code this many lines, a payload this many words: fewer are no pattern.
+TABLE_NUMBERS, SKELETON_LINES, PAYLOAD_WORDS = 12, 12, 24
+#: Files in which comments have this share are judged by their comments' head only; data has less than the second.
+COMMENTED, UNCOMMENTED = 0.5, 0.03
+
+_WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+_ALNUM_BYTES = bytes(b for b in range(128) if chr(b).isalnum())
+_SHAPE_BYTES = bytes(57 if 48 <= b < 58 else 119 if b >= 128 or chr(b).isalpha() or b == 95 else b for b in range(256))
+_RUN = regex.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{64,}+|(?:\\x[0-9A-Fa-f]{2}){12,}+|(?:0x[0-9A-Fa-f]{1,8},?\s*){12,}+|(?:\\u[0-9A-Fa-f]{4}){10,}+")
 _STRING = regex.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_NUMBER = regex.compile(r"\b\d[\w.]*")
-_NAME = regex.compile(r"[^\W\d]\w*")
+_NAME_SHAPE, _NUMBER_SHAPE = re.compile(rb"w[w9]+"), re.compile(rb"9[w9]+")
 _COMMENT = regex.compile(r"(?://|(?<![\w&])\#(?![0-9a-fA-F]{3,8}\b))[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"", regex.S)
+_IMPORT = re.compile(r"^[ \t]*(?:import|from|use|pub use|mod|pub mod|export (?:type )?[*{]|#include)[ \t{*].*$", re.M)
 # Words of program logic over the languages.
-_LOGIC = regex.compile(r"\b(?:if|else|for|while|return|function|def|fn|func|class|import|from|use|async|await|switch|match|try|catch|struct|impl|trait|interface|enum|type|throw|raise|lambda|yield|new|var|mod|extension|protocol)\b|=>")
+_LOGIC = frozenset(
+    b"if else for while return function def fn func class import from use async await switch match try catch struct impl trait interface enum type throw raise lambda yield new var mod extension protocol".split()
+)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _words(text: str) -> list[bytes]:
+    """Runs of letters, digits and underscores."""
+    return _bytes(text).translate(_WORD_BYTES).split()
 
 
 def layout(text: str) -> dict[str, float]:
-    """Layout statistics of a whole text; all zero for an empty one."""
+    """Layout statistics of a whole text; all zero for an empty one. Line shapes are those of the code without comments and imports."""
     n = len(text)
     if not n:
         return dict.fromkeys(STATISTICS, 0.0)
     lines = text.splitlines() or [""]
-    filled = [x for x in (line.strip() for line in lines) if x]
+    parts = text.split()
     bare = _COMMENT.sub(" ", text)
     naked = _STRING.sub("''", bare)
-    words = _WORDS.findall(bare)
-    shapes = Counter(_NAME.sub("w", _NUMBER.sub("9", _STRING.sub("s", x))) for x in filled)
-    spaces = len(_SPACE.findall(text))
+    words, code = _words(bare), _words(naked)
+    shaped = _NUMBER_SHAPE.sub(b"9", _NAME_SHAPE.sub(b"w", _bytes(_IMPORT.sub("", naked)).translate(_SHAPE_BYTES)))
+    shapes = Counter(filter(None, map(bytes.strip, shaped.splitlines())))
+    alnum = len(text.encode("ascii", "ignore")) - len(text.encode("ascii", "ignore").translate(None, _ALNUM_BYTES))
+    if not text.isascii():
+        alnum += sum(c.isalnum() for c in text if c > "\x7f")
+    # a run is unbroken by white space, or made of escapes
+    runs = any(len(p) >= 64 for p in parts) or "0x" in text
     return {
-        "lines": float(len(filled)),
+        "lines": float(sum(1 for x in lines if x and not x.isspace())),
         "max_line": float(max(map(len, lines))),
         "mean_line": n / len(lines),
-        "space_share": spaces / n,
-        "alnum_share": sum(map(str.isalnum, text)) / n,
-        "number_density": sum(w[0].isdigit() for w in words) / max(1, len(words)),
-        "encoded_share": sum(m.end() - m.start() for m in _RUN.finditer(text)) / n,
-        "skeleton_share": sum(c for _, c in shapes.most_common(3)) / max(1, len(filled)),
-        "logic_density": len(_LOGIC.findall(naked)) / max(1, len(words)),
+        "space_share": 1 - sum(map(len, parts)) / n,
+        "alnum_share": alnum / max(1, sum(map(len, parts))),
+        "number_density": sum(48 <= w[0] < 58 for w in words) / max(1, len(words)),
+        "encoded_share": sum(m.end() - m.start() for m in _RUN.finditer(text)) / n if runs else 0.0,
+        "skeleton_share": sum(c for _, c in shapes.most_common(3)) / max(SKELETON_LINES, shapes.total()),
+        "logic_density": (sum(w in _LOGIC for w in code) + naked.count("=>")) / max(1, len(words)),
         "comment_share": 1 - len(bare.strip()) / max(1, len(text.strip())) if bare != text else 0.0,
         "literal_share": 1 - len(naked) / max(1, len(bare)),
     }
 
 
-def machine_layout(s: dict[str, float], chars: int, language: str | None) -> str | None:
-    """What the statistics show by the language's thresholds: minified, encoded, table, repeated, data, or None."""
+def machine_layout(s: dict[str, float], words: int, language: str | None) -> str | None:
+    """What the statistics show by the language's thresholds. By the measures of layout itself: minified, packed (without
+    long lines), encoded, table, marks (letters and digits rarer or more frequent than people write); then, as additions,
+    repeated (line shapes) and data (no logic); or None."""
     lim = LIMITS.get((language or "").lower(), Limits())
-    if s["lines"] and chars > 200 and (s["space_share"] < lim.packed_space or s["mean_line"] > lim.dense_line and s["space_share"] < lim.dense_space) and s["max_line"] > 100:
+    if not s["lines"]:
+        return None
+    packed = s["space_share"] < lim.packed_space and s["comment_share"] < COMMENTED
+    if s["max_line"] > lim.long_line and (packed or s["mean_line"] > lim.dense_line):
         return "minified"
-    if chars > 200 and s["encoded_share"] > lim.encoded_share:
+    if packed and words >= PAYLOAD_WORDS:
+        return "packed"
+    if s["encoded_share"] > lim.encoded_share:
         return "encoded"
-    if s["number_density"] > lim.number_density and s["comment_share"] < lim.comment_share and s["logic_density"] < 0.05 and chars > 200:
+    if s["comment_share"] < UNCOMMENTED and s["number_density"] > lim.number_density and s["number_density"] * words >= TABLE_NUMBERS:
         return "table"
-    if s["lines"] >= lim.skeleton_lines and s["skeleton_share"] > lim.skeleton_share and s["comment_share"] < 0.5:
+    if s["comment_share"] < COMMENTED and words >= PAYLOAD_WORDS and not lim.alnum_low <= s["alnum_share"] <= lim.alnum_high:
+        return "marks"
+    if not lim.has_logic:
+        return None
+    if s["comment_share"] < COMMENTED and s["skeleton_share"] > lim.skeleton_share:
         return "repeated"
-    if chars > lim.data_chars and s["logic_density"] < lim.logic_density and s["comment_share"] < lim.comment_share and (s["number_density"] > 0.2 or s["literal_share"] > 0.3):
+    if s["comment_share"] < UNCOMMENTED and s["logic_density"] < lim.logic_density and words >= PAYLOAD_WORDS and (s["number_density"] > 0.2 or s["literal_share"] > 0.3):
         return "data"
     return None
 
@@ -127,37 +169,66 @@ def stated_origin(text: str) -> str | None:
     return None
 
 
-_TOKEN = regex.compile(r"\w+")
 SHINGLE_WORDS = 5
 #: A copy shares at least this part of one file's shingles, and this part of the other's ("also if lightly altered").
-COPY_SHARE, COPY_OTHER_SHARE, COPY_SHINGLES = 0.5, 0.3, 12
+COPY_SHARE, COPY_OTHER_SHARE = 0.5, 0.3
+#: Texts with fewer shingles than this are copies if all their words are the same, in order.
+COPY_SHINGLES = 12
 #: Package texts are compared in blocks of at most this many characters, each broadcast in turn.
 PACKAGE_BLOCK_CHARS = 32 << 20
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(text: str) -> set[int]:
-    words = _TOKEN.findall(text.lower())
-    return {hash(tuple(words[i : i + SHINGLE_WORDS])) for i in range(len(words) - SHINGLE_WORDS + 1)}
+def shingles(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of all runs of five words; equal within one process only."""
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    n = len(h) - SHINGLE_WORDS + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    mixed = np.zeros(n, np.uint64)
+    for i, f in enumerate(_FACTORS):
+        mixed = (mixed ^ (h[i : i + n] * f)) * _FACTORS[0]
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
 
 class PackageIndex:
-    """Shingles of known package files; hashes of tuples of strings agree within one process only, so it is built there."""
+    """Shingles of known package files, built in the process that compares with them."""
 
     def __init__(self, files: list[tuple[int, str]]):
         self.size: dict[int, int] = {}
-        self.by: dict[int, list[int]] = {}
+        self.short: dict[tuple[bytes, ...], int] = {}
+        keys, items = [], []
         for item, text in files:
-            own = shingles(text)
+            words = _words(text.lower())
+            own = np.unique(shingles(words))
             self.size[item] = len(own)
-            for s in own:
-                self.by.setdefault(s, []).append(item)
+            if len(own) < COPY_SHINGLES:
+                if len(words) >= SHINGLE_WORDS:
+                    self.short[tuple(words)] = min(item, self.short.get(tuple(words), item))
+                continue
+            keys.append(own)
+            items.append(np.full(len(own), item, np.int64))
+        keys, items = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *items])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], items[order]
 
     def copy_of(self, text: str) -> tuple[int | None, float]:
         """The package file of which the text is a copy, and the larger shared part."""
-        own = shingles(text)
+        words = _words(text.lower())
+        own = shingles(words)
+        if len(own) >= COPY_SHINGLES and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            if np.count_nonzero(self.keys[at] == own) < COPY_SHINGLES:
+                return None, 0.0
+        own = np.unique(own)
         if len(own) < COPY_SHINGLES:
-            return None, 0.0
-        shared = Counter(i for s in own for i in self.by.get(s, ()))
+            item = self.short.get(tuple(words))
+            return item, 0.0 if item is None else 1.0
+        lo = np.searchsorted(self.keys, own, "left")
+        hi = np.searchsorted(self.keys, own, "right")
+        hit = np.flatnonzero(hi > lo)
+        shared = Counter(self.items[np.concatenate([np.arange(x, y) for x, y in zip(lo[hit].tolist(), hi[hit].tolist())])].tolist()) if len(hit) else {}
         best, share = None, 0.0
         for item, n in sorted(shared.items()):
             a, b = n / len(own), n / self.size[item]
@@ -194,7 +265,7 @@ def file_evidence(source_files: DataFrame, package_files: DataFrame) -> DataFram
             for file_id, lang, content in zip(b.column("file_id").to_pylist(), b.column("code_lang").to_pylist(), b.column("content").to_pylist()):
                 text = content or ""
                 s = layout(text)
-                for c, v in zip(names, [file_id, *(s[k] for k in STATISTICS), machine_layout(s, len(text), lang), stated_origin(text), None, 0.0]):
+                for c, v in zip(names, [file_id, *(s[k] for k in STATISTICS), machine_layout(s, len(_words(text)), lang), stated_origin(text), None, 0.0]):
                     out[c].append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(out[c], t) for c, t in zip(names, types)], b.column("content")], [*names, "content"])
 

@@ -6,7 +6,7 @@ HAND = "import { a } from './b';\n\n// Adds up what is due.\nexport function tot
 
 
 def verdict(text, lang="javascript"):
-    return h.machine_layout(h.layout(text), len(text), lang)
+    return h.machine_layout(h.layout(text), len(h._words(text)), lang)
 
 
 def test_layouts():
@@ -19,7 +19,7 @@ def test_layouts():
     blob = "export const b = [" + ",\n ".join("0x%02x" % r.randrange(256) for _ in range(400)) + "];"
     assert verdict(blob) in ("encoded", "minified")
     words = "NAMES = [" + ", ".join(f'"{"".join(r.choice("abcdef") for _ in range(6))}"' for _ in range(120)) + "]"
-    assert verdict(words, "python") in ("data", "minified")
+    assert verdict(words, "python") in ("data", "minified", "marks")
     states = "\n".join(f"case {i}: __s = {i * 7}; __a = __a ^ 0x{i:04x}; break;" for i in range(40))
     assert verdict(states, None) == "repeated"
     assert verdict(HAND) is None and verdict(HAND * 5) is None and verdict("") is None
@@ -57,6 +57,16 @@ def test_copies_of_packages():
     assert index.copy_of("short text")[0] is None and index.copy_of("")[0] is None
 
 
+def test_small_files():
+    """No size hides a file: short packed code, short blobs, short tables, and copies of short package files."""
+    assert verdict("!function(a){var b={};function c(d){if(b[d])return b[d].x;var e=b[d]={x:{}};return a[d](e,e.x,c),e.x}c(0)}([function(a,b){b.y=1}]);") == "minified"
+    assert verdict('k = "' + "QUJD" * 20 + '"', "python") == "encoded"
+    assert verdict("[3, 14, 15, 92, 65, 35, 89, 79, 32, 38, 46, 26, 43]") == "table"
+    index = h.PackageIndex([(4, "module.exports = require('./lib/index');"), (5, "'use strict';")])
+    assert index.copy_of("module.exports  =\n require('./lib/index')") == (4, 1.0)
+    assert index.copy_of("module.exports = require('./lib/other')")[0] is None and index.copy_of("'use strict'")[0] is None
+
+
 def test_rows_and_blocks(spark, monkeypatch):
     r = random.Random(5)
     libs = ["\n".join(f"def {''.join(r.choice('klmnop') for _ in range(8))}(v): return v * {r.randrange(999)}" for _ in range(25)) for _ in range(4)]
