@@ -9,7 +9,9 @@ from .graph_views import clean_path, trimmed
 #: Base name rules of aliases.
 BASE_NAME_RULES = ((r"\s*config([^A-Za-z0-9_].*)?$", ""), (r"\s*\(.*\)$", ""), (r"[@/].*", ""))
 #: Path segments of third-party code.
-VENDOR_SEGMENTS = ("node_modules", "vendor", "third_party", "thirdparty", "externals", "bower_components", "site-packages", "pods")
+VENDOR_SEGMENTS = ("node_modules", "bower_components", "vendor", "third_party", "thirdparty", "__generated__", ".next", ".nuxt", ".venv", "site-packages", "Pods", "Carthage")
+#: Folders that hold copies of packages by their names.
+PACKAGE_FOLDERS = ("packages", "deps", "externals", "vendor", "node_modules", "third_party")
 #: Extensions of source files and folders that are not scanned.
 SOURCE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "rs", "swift", "css")
 IGNORED_FOLDERS = ("node_modules", "dist", "build", "coverage", "__generated__")
@@ -85,8 +87,7 @@ def discover_files(source_files: DataFrame) -> DataFrame:
 def vendor_paths(source_files: DataFrame) -> DataFrame:
     """Distinct paths that pass through a vendor folder, with the folder that tells."""
     path = clean_path(F.col("file"))
-    folders = F.transform(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.lower)
-    hit = F.filter(folders, lambda x: x.isin(*VENDOR_SEGMENTS))
+    hit = F.filter(F.split(path, "/"), lambda x: x.isin(*VENDOR_SEGMENTS))
     return source_files.where("file is not null").select("repo", path.alias("path"), F.get(hit, F.lit(0)).alias("segment")).where("segment is not null").distinct()
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .graph_views import clean_path, ends
+from .traverse import cyclic_sets, transitively_dead
 
 #: Inferred tiers of folder names.
 TIERS = {
@@ -73,20 +75,28 @@ def _top(df: DataFrame, least: int) -> DataFrame:
     return df.orderBy(F.desc("n"), "component_id").limit(RULE_LIMIT).where(F.col("n") >= least)
 
 
-def builtin_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All rules but cycles and reachability: rule_id, severity, component_id, detail."""
-    named = ends(edges, nodes)
+def builtin_rules(nodes: DataFrame, edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """All rules: rule_id, severity, component_id, detail.
+
+    A cycle of imports is one row, of the smallest id of its strongly connected set, with the set's size. ``nodes`` and
+    ``edges`` are read many times: pass tables that are written (``session.cut``), not views that deduplicate.
+    """
+    of_layer = lambda layer, c: nodes.where(F.col("layer") == layer).select(F.col("component_id").alias(c))
+    imports = edges.where("connection_type = 'imports'").select("connection_id", "from_id", "to_id", "connection_type")
+    imports = cut(imports.join(nodes.select(F.col("component_id").alias("from_id")), "from_id", "left_semi").join(nodes.select(F.col("component_id").alias("to_id")), "to_id", "left_semi"))
+    cycles = cyclic_sets(imports).groupBy(F.col("cycle").alias("component_id")).agg(F.count(F.lit(1)).alias("n"))
     used = edges.select(F.explode(F.array("from_id", "to_id")).alias("component_id")).where("component_id is not null").distinct()
-    fed = named.where("from_layer = 'backend'").select(F.col("to_id").alias("component_id")).distinct()
+    fed = edges.select("from_id", F.col("to_id").alias("component_id")).join(of_layer("backend", "from_id"), "from_id", "left_semi").select("component_id").distinct()
+    direct = edges.select("connection_id", "from_id", "to_id").join(of_layer("database", "to_id"), "to_id", "left_semi").join(of_layer("frontend", "from_id"), "from_id", "left_semi")
     incoming = edges.where("to_id is not null").groupBy(F.col("to_id").alias("component_id")).agg(F.count(F.lit(1)).alias("n"))
     nid = F.col("component_id")
     status = lambda s, rule, sev: _rows(nodes.where(F.col("status") == s), rule, sev, nid, F.lit(s))
-    hot, wide = _top(fan_counts(nodes, edges, "to_id"), 5), _top(fan_counts(nodes, edges, "from_id"), 8)
-    depth = module_depth(nodes, edges).where("fan_out >= 4 and shallowness >= 2").orderBy(F.desc("shallowness"), F.desc("fan_out"), "component_id").limit(RULE_LIMIT)
+    hot, wide = _top(fan_counts(nodes, imports, "to_id"), 5), _top(fan_counts(nodes, imports, "from_id"), 8)
+    depth = module_depth(nodes, imports).where("fan_out >= 4 and shallowness >= 2").orderBy(F.desc("shallowness"), F.desc("fan_out"), "component_id").limit(RULE_LIMIT)
     parts = [
         _rows(nodes.join(used, "component_id", "left_anti"), "orphan-component", "warning", nid, F.col("component_type")),
         _rows(nodes.where("layer = 'database'").join(fed, "component_id", "left_anti"), "database-no-backend", "warning", nid, F.lit("database")),
-        _rows(named.where("from_layer = 'frontend' and to_layer = 'database'"), "frontend-direct-db", "error", F.col("from_id"), F.col("connection_id")),
+        _rows(direct, "frontend-direct-db", "error", F.col("from_id"), F.col("connection_id")),
         status("unused", "unused-package", "info"),
         status("vulnerable", "vulnerable-dependency", "error"),
         status("deprecated", "deprecated-dependency", "warning"),
@@ -94,8 +104,10 @@ def builtin_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         _rows(hot, "hotspot-module", "warning", nid, F.col("n")),
         _rows(wide, "high-fan-out", "warning", nid, F.col("n")),
         _rows(depth, "shallow-module", "warning", nid, F.col("fan_out")),
-        _rows(layer_violations(nodes, edges), "layer-violation", "error", F.col("from_id"), F.concat_ws(">", "from_tier", "to_tier")),
+        _rows(layer_violations(nodes, imports), "layer-violation", "error", F.col("from_id"), F.concat_ws(">", "from_tier", "to_tier")),
         _rows(duplicate_creation(nodes, edges), "duplicate-resource-creation", "warning", nid, F.col("sites")),
+        _rows(cycles, "circular-dependency", "error", nid, F.col("n")),
+        _rows(transitively_dead(nodes, edges, declared), "transitively-dead", "warning", nid, F.col("component_type")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, drop_cut
+from .catalog import PACKAGE_FOLDERS, VENDOR_SEGMENTS
 from .graph_views import clean_path
 
 #: Weights of edge types in a route's score.
@@ -64,39 +68,134 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, depth: int = 2) -> DataFra
     return seen
 
 
-def reachable(edges: DataFrame, entries: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Ids that can be reached from ``entries`` (column id) along edges, entries included. Ends with an empty frontier."""
-    pairs = cut(simple_edges(edges))
-    seen = cut(entries.select("id").distinct())
-    frontier = seen
-    for step in range(max_rounds):
+#: Graphs of at most this many distinct pairs are searched by one task (some 100 MB of names), larger ones in rounds.
+PAIRS_OF_ONE_TASK = 1 << 19
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids that are reached from the rows without src, by breadth."""
+    after: dict[str, list[str]] = {}
+    todo = []
+    for b in batches:
+        for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+            todo.append(y) if x is None else after.setdefault(x, []).append(y)
+    seen = set(todo)
+    while todo:
+        todo = list({y for x in todo for y in after.get(x, ())} - seen)
+        seen.update(todo)
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["id"])
+
+
+def reachable(edges: DataFrame, entries: DataFrame, source: str = "from_id", target: str = "to_id") -> DataFrame:
+    """Ids that can be reached from ``entries`` (column id) along edges, entries included.
+
+    A graph of up to ``PAIRS_OF_ONE_TASK`` pairs and entries, which are counted, is searched by one task. A larger one is
+    searched in rounds, those of the longest way, until a frontier is empty; every fifth round joins what was seen in one
+    table and frees the tables before. The result is the same.
+    """
+    pairs = cut(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).where("src is not null and dst is not null").distinct())
+    seen = cut(entries.select("id").where("id is not null").distinct())
+    if pairs.count() + seen.count() <= PAIRS_OF_ONE_TASK:
+        both = pairs.unionByName(seen.select(F.lit(None).cast("string").alias("src"), F.col("id").alias("dst")))
+        return cut(both.coalesce(1).mapInArrow(_reach, "id string"))
+    frontier, parts = seen, [seen]
+    while True:
         found = pairs.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = cut(found.join(seen, "id", "left_anti"))
         if frontier.isEmpty():
-            break
+            drop_cut(pairs)
+            return seen
+        parts.append(frontier)
         seen = seen.unionByName(frontier)
-        if step % 5 == 4:
-            seen = cut(seen)
-    return seen
-
-
-#: Entry point conventions of paths.
-ENTRY_PATHS = r"(^|/)(index|main|app|server|cli|manage|lib|mod)\.(ts|tsx|js|jsx|py|rs|swift)$|(^|/)(pages|routes|api|bin|scripts|tests?|__tests__)/"
-ENTRY_TYPES = ("api-endpoint", "cron", "queue", "worker", "infra", "config")
+        if len(parts) > 5:
+            seen, frontier = cut(seen), parts[-1]
+            for p in parts[:-1]:
+                drop_cut(p)
+            parts = [frontier, seen]
+
+
+#: Types, names and tags of components where execution starts.
+ENTRY_TYPES = ("api-endpoint", "worker", "cron", "xcode-target")
+ENTRY_NAMES = r"(?i)App$|AppDelegate|@main|ContentView|SceneDelegate|(?:^|[/\\.:#\s_-])Main(?:$|[/\\.:#\s_-])"
+ENTRY_TAGS = ("entrypoint", "route", "navigation-root")
+#: Path conventions of roots that nothing imports, in order.
+ENTRY_PATHS = (
+    ("test-file", r"(^|/)__tests__/"),
+    ("test-file", r"(^|/)tests?/"),
+    ("test-file", r"\.(test|spec)\.[cm]?[jt]sx?$"),
+    ("framework-route", r"^(?:[^/]+/)?(?:src/)?app/(?:.*/)?(?:page|layout|route|template|default|error|global-error|not-found|loading)\.[cm]?[jt]sx?$"),
+    ("framework-route", r"^(?:[^/]+/)?(?:src/)?pages/.*\.[cm]?[jt]sx?$"),
+    ("framework-route", r"^(?:[^/]+/)?(?:src/)?(?:middleware|instrumentation)\.[cm]?[jt]s$"),
+    ("tooling-config", r"(^|/)[\w.-]*\.config\.[cm]?[jt]sx?$"),
+    ("executable-dir", r"(^|/)(scripts|bin)/"),
+)
+ENTRY_LAYERS = ("infra", "external")
+#: Types and files of declared dependencies and environment, which are never dead code.
+PACKAGE_TYPES = ("npm", "pip", "spm", "cargo", "go", "gem", "composer")
+NEVER_DEAD = (*PACKAGE_TYPES, "infra", "config", "document")
+MANIFESTS = (
+    "package.json", "package-lock.json", "requirements.txt", "pyproject.toml", "Pipfile", "Cargo.toml", "Cargo.lock", "Package.swift", "go.mod", "Gemfile", "composer.json", "pubspec.yaml", "build.gradle", "pom.xml",
+)
+
+
+def entry_points(nodes: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Components where execution starts, by the first reason that holds: id, reason.
+
+    A manifest's declaration (``declared``: repo, path, source), the type, the name, a tag, a path convention, or the
+    layer (infra and external are no code to keep alive). Path conventions are anchored, so that ordinary folders of
+    these names deeper down are none.
+    """
+    path = clean_path(F.coalesce("file", F.lit("")))
+    reason = F.when(F.col("component_type").isin(*ENTRY_TYPES), "component-type").when(F.col("name").rlike(ENTRY_NAMES), "name-pattern").when(F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, ENTRY_TAGS))), F.lit(False)), "tag")
+    for source, pattern in ENTRY_PATHS:
+        reason = reason.when(path.rlike(pattern), source)
+    reason = reason.when(F.col("layer").isin(*ENTRY_LAYERS), "infra-layer")
+    if declared is None:
+        return nodes.select(F.col("component_id").alias("id"), reason.alias("reason")).where("reason is not null")
+    told = declared.groupBy("repo", F.col("path").alias("told_path")).agg(F.min("source").alias("told"))
+    rows = nodes.select("component_id", "repo", path.alias("told_path"), reason.alias("reason")).join(told, ["repo", "told_path"], "left")
+    return rows.select(F.col("component_id").alias("id"), F.coalesce("told", "reason").alias("reason")).where("reason is not null")
+
+
+def _in_package_folder(nodes: DataFrame) -> DataFrame:
+    """Components whose path has a folder of packages followed by the name of a known package: component_id."""
+    names = nodes.where(F.col("component_type").isin(*PACKAGE_TYPES)).select(F.col("name").alias("folder")).distinct()
+    parts = F.split(clean_path(F.col("file")), "/")
+    inner = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.when(F.try_element_at(parts, i - 1).isin(*PACKAGE_FOLDERS), F.try_element_at(parts, i)))
+    return nodes.where("file is not null").select("component_id", F.explode(F.array_compact(inner)).alias("folder")).join(names, "folder", "left_semi").select("component_id").distinct()
+
+
+def unreached(nodes: DataFrame, edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Connected components that no entry point reaches, but dependencies and environment: component_id, component_type,
+    suppressed (dependency-manifest or vendored if the file is not the authors' own, null for dead code).
+
+    Without any entry point nothing can be told, and there are no rows. Unconnected components are orphans instead.
+    """
+    entries = entry_points(nodes, declared)
+    rest = nodes.where(~F.col("component_type").isin(*NEVER_DEAD))
+    if entries.isEmpty():
+        return rest.limit(0).select("component_id", "component_type", F.lit(None).cast("string").alias("suppressed"))
+    live = reachable(edges, entries.select("id"))
+    linked = edges.select(F.explode(F.array("from_id", "to_id")).alias("component_id")).where("component_id is not null").distinct()
+    rows = rest.join(live, rest["component_id"] == live["id"], "left_anti").join(linked, "component_id", "left_semi")
+    copied = _in_package_folder(nodes).withColumn("copied", F.lit(True))
+    path = clean_path(F.coalesce("file", F.lit("")))
+    why = F.when(F.element_at(F.split(path, "/"), -1).isin(*MANIFESTS), "dependency-manifest").when(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, VENDOR_SEGMENTS))) | F.col("copied").isNotNull(), "vendored")
+    return rows.join(copied, "component_id", "left").select("component_id", "component_type", why.alias("suppressed"))
 
 
-def entry_points(nodes: DataFrame) -> DataFrame:
-    """Components where execution starts, by type, then by path: id, reason."""
-    path = F.lower(clean_path(F.coalesce("file", F.lit(""))))
-    reason = F.when(F.col("component_type").isin(*ENTRY_TYPES), F.concat(F.lit("type:"), F.col("component_type"))).when(path.rlike(ENTRY_PATHS), "path")
-    return nodes.select(F.col("component_id").alias("id"), reason.alias("reason")).where("reason is not null")
+def transitively_dead(nodes: DataFrame, edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Components of the authors' own code that are connected but reached from no entry point: component_id, component_type."""
+    return unreached(nodes, edges, declared).where("suppressed is null").select("component_id", "component_type")
 
 
-def transitively_dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Active components that no entry point reaches, entry points and manifests aside."""
-    live = reachable(edges, entry_points(nodes).select("id"))
-    rest = nodes.where("status = 'active' and component_type not in ('pip', 'document', 'prompt')")
-    return rest.join(live, rest["component_id"] == live["id"], "left_anti").select("component_id", "component_type")
+def reachability_report(nodes: DataFrame, edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """What the search for dead code saw: item, value (entry points by reason, components that were considered, and those
+    of them that were suppressed by reason)."""
+    entries = entry_points(nodes, declared).groupBy(F.concat(F.lit("entry:"), "reason").alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    rest = cut(unreached(nodes, edges, declared))
+    kinds = rest.where("suppressed is not null").groupBy(F.concat(F.lit("suppressed:"), "suppressed").alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    return entries.unionByName(kinds).unionByName(rest.groupBy().agg(F.count(F.lit(1)).alias("value")).select(F.lit("considered").alias("item"), "value"))
 
 
 #: What counts as production when paths are filtered by classification, beside edges without one.
@@ -163,14 +262,9 @@ def short_cycles(edges: DataFrame, limit: int = 3) -> DataFrame:
     return two.unionByName(three)
 
 
-def in_cycle(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """What is left after trimming nodes without incoming or outgoing edges until none is: every cycle lies within (column id).
-
-    Each round trims both ends of a chain by one node. A bound that is reached is an error, as the rest is no core yet.
-    """
-    p = cut(simple_edges(edges).where("src <> dst"))
-    n = p.count()
-    rounds = 0
+def _trimmed(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``pairs`` (src, dst) without those that begin or end outside: trimmed until each end has pairs both in and out."""
+    p, n, rounds = pairs, pairs.count(), 0
     while n:
         if rounds == max_rounds:
             raise RuntimeError(f"trimming has not ended after {max_rounds} rounds; {n} edges are left")
@@ -181,9 +275,113 @@ def in_cycle(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         if m == n:
             break
         n = m
+    return p
+
+
+def in_cycle(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """What is left after trimming nodes without incoming or outgoing edges until none is: every cycle lies within (column id).
+
+    Each round trims both ends of a chain by one node. A bound that is reached is an error, as the rest is no core yet.
+    """
+    p = _trimmed(cut(simple_edges(edges).where("src <> dst")), max_rounds)
     return p.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
+def _spread_least(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each id's least label among all that reach it along ``pairs``: id, label. Only labels that changed go on."""
+    fresh = labels
+    while True:
+        sent = pairs.join(fresh.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("got"))
+        joined = labels.join(sent, "id", "left").select("id", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("changed"))
+        before, labels = labels, cut(joined)
+        fresh = labels.where("changed").select("id", "label")
+        done = fresh.isEmpty()
+        labels = labels.select("id", "label") if done else labels
+        if hasattr(before, "cut_path"):
+            drop_cut(before)
+        if done:
+            return labels
+
+
+def strong_sets(src: list[str], dst: list[str]) -> dict[str, str]:
+    """Each node of a strongly connected set of at least two to the set's smallest id, by one depth-first search."""
+    number: dict[str, int] = {}
+    for x in (*src, *dst):
+        number.setdefault(x, len(number))
+    after: list[list[int]] = [[] for _ in number]
+    for a, b in zip(src, dst):
+        after[number[a]].append(number[b])
+    names, order, low, stack, path, count = list(number), [-1] * len(number), [0] * len(number), [], [False] * len(number), 0
+    out: dict[str, str] = {}
+    for root in range(len(names)):
+        if order[root] >= 0:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, k = work.pop()
+            if not k:
+                order[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                path[v] = True
+            else:
+                low[v] = min(low[v], low[after[v][k - 1]])
+            while k < len(after[v]):
+                w = after[v][k]
+                k += 1
+                if order[w] < 0:
+                    work += [(v, k), (w, 0)]
+                    break
+                if path[w]:
+                    low[v] = min(low[v], order[w])
+            else:
+                if low[v] == order[v]:
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(stack.pop())
+                        path[members[-1]] = False
+                    if len(members) > 1:
+                        least = min(names[m] for m in members)
+                        out |= {names[m]: least for m in members}
+    return out
+
+
+def cyclic_sets(edges: DataFrame) -> DataFrame:
+    """Strongly connected sets of at least two nodes: id, cycle (the set's smallest id).
+
+    By rounds of colours: trim what lies in no cycle, give each node the least id that reaches it, take for each id that
+    kept its own colour what reaches it within that colour, and go on with the rest. Two nodes are in a set if each
+    reaches the other, so the result does not depend on any order of search. A node's edge to itself is no cycle.
+    A graph of up to ``PAIRS_OF_ONE_TASK`` pairs, which are counted, is searched by one task instead, with the same result.
+    """
+    pairs = cut(simple_edges(edges).where("src <> dst"))
+    if pairs.count() <= PAIRS_OF_ONE_TASK:
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            src, dst = [], []
+            for b in batches:
+                src += b.column("src").to_pylist()
+                dst += b.column("dst").to_pylist()
+            sets = strong_sets(src, dst)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.string()), pa.array(list(sets.values()), pa.string())], ["id", "cycle"])
+
+        return cut(pairs.coalesce(1).mapInArrow(search, "id string, cycle string"))
+    found = None
+    while True:
+        core = _trimmed(pairs)
+        if core.isEmpty():
+            return found if found is not None else core.select(F.col("src").alias("id"), F.col("src").alias("cycle"))
+        own = core.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        colour = cut(_spread_least(core, cut(own.select("id", F.col("id").alias("label")))))
+        within = core.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        back = cut(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        sets = cut(colour.join(reachable(back, colour.where("id = label").select("id"), "src", "dst"), "id", "left_semi"))
+        sized = sets.join(sets.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "label").select("id", F.col("label").alias("cycle"))
+        found = sized if found is None else found.unionByName(sized)
+        gone = sets.select("id")
+        pairs = cut(core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """PageRank over distinct edges between known nodes, self-loops kept, mass of dangling nodes spread evenly.
 

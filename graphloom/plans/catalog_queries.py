@@ -223,7 +223,7 @@ SQL = {
     "file_hashes": "SELECT file_id, sha256(content) AS hash, strlen(content) AS size FROM source_files WHERE content IS NOT NULL",
     "file_discovery": _DISCOVER,
     "file_vendor_segments": f"""SELECT DISTINCT repo, path, s AS segment FROM (
-      SELECT repo, {_PATH} AS path, list_filter(list_transform(string_split({_PATH}, '/')[:-2], lambda x: lower(x)), lambda x: x IN ({_list(c.VENDOR_SEGMENTS)}))[1] AS s FROM source_files WHERE file IS NOT NULL) WHERE s IS NOT NULL""",
+      SELECT repo, {_PATH} AS path, list_filter(string_split({_PATH}, '/'), lambda x: x IN ({_list(c.VENDOR_SEGMENTS)}))[1] AS s FROM source_files WHERE file IS NOT NULL) WHERE s IS NOT NULL""",
     "find_component": f"""WITH {SQL_NODES}, s AS (SELECT component_id, name, {_SCORE} AS base FROM nodes)
       SELECT component_id, name, CASE WHEN base = 0 AND regexp_matches(lower(name), '{".*".join(chr(92) + x if not x.isalnum() else x for x in _Q)}') THEN 4 ELSE base END AS score FROM s WHERE score > 0 ORDER BY score DESC, component_id LIMIT 10""",
     "suggest_component": f"""WITH {SQL_NODES} SELECT component_id, name, CASE WHEN contains(lower(name), '{_S}') OR contains('{_S}', lower(name)) THEN 3 ELSE 0 END

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, rules, traverse as t
+from ..operators.catalog import PACKAGE_FOLDERS, VENDOR_SEGMENTS
 from ..operators.graph_views import SQL_EDGES, SQL_GRAPH, SQL_NODES, clean_path, edges, nodes, sql_clean_path
 from ..session import cut
 
@@ -15,8 +16,8 @@ CUSTOM_RULES = [
 ]
 RULE_SCHEMA = "id string, from_layer string, from_type string, from_name string, to_layer string, to_type string, to_name string"
 ROUNDS = 5
-#: The reference's default depth of a trace.
-HOPS = 5
+#: Depth of the trace from a small start, and of that from the hub, whose paths grow tenfold with each hop.
+HOPS, HUB_HOPS = 5, 3
 
 
 def _links(spark, d):
@@ -38,85 +39,85 @@ def _hub(n, e) -> str:
     return top and top["src"]
 
 
+def _known(spark, d):
+    """The nodes' attributes that rules and traversals ask for, read and deduplicated once."""
+    return cut(nodes(spark, d, "seq", "repo", "name", "component_type", "layer", "status", "critical", "file", "tags"))
+
+
+def _rule_rows(spark, d, n=None, e=None):
+    e = cut(edges(spark, d, "from_id", "to_id", "connection_type", "code")) if e is None else e
+    return rules.builtin_rules(_known(spark, d) if n is None else n, e)
+
+
 def rules_builtin(spark, d):
-    return rules.builtin_rules(nodes(spark, d), edges(spark, d))
+    return _rule_rows(spark, d)
 
 
 def rules_counts(spark, d):
-    return rules.rule_counts(rules.builtin_rules(nodes(spark, d), edges(spark, d)))
+    return rules.rule_counts(_rule_rows(spark, d))
 
 
 def rules_degenerate(spark, d):
-    n = nodes(spark, d)
-    return rules.degenerate_rules(rules.builtin_rules(n, edges(spark, d)), n)
+    n = _known(spark, d)
+    return rules.degenerate_rules(_rule_rows(spark, d, n), n)
 
 
 def rules_custom(spark, d):
-    return rules.forbidden_edges(nodes(spark, d), edges(spark, d), spark.createDataFrame(CUSTOM_RULES, RULE_SCHEMA))
+    return rules.forbidden_edges(nodes(spark, d, "name", "component_type", "layer"), edges(spark, d, "from_id", "to_id"), spark.createDataFrame(CUSTOM_RULES, RULE_SCHEMA))
 
 
 def module_depth(spark, d):
-    return rules.module_depth(nodes(spark, d), edges(spark, d)).select("component_id", "fan_in", "fan_out", "shallowness")
+    return rules.module_depth(_known(spark, d), _links(spark, d)).select("component_id", "fan_in", "fan_out", "shallowness")
 
 
 def layer_violations(spark, d):
-    return rules.layer_violations(nodes(spark, d), edges(spark, d)).select("connection_id", "from_tier", "to_tier")
+    return rules.layer_violations(nodes(spark, d, "component_type", "file"), _links(spark, d)).select("connection_id", "from_tier", "to_tier")
 
 
 def edge_classes(spark, d):
-    return rules.classify_edges(nodes(spark, d), edges(spark, d))
+    return rules.classify_edges(nodes(spark, d, "name", "file"), edges(spark, d, "from_id", "to_id", "file"))
 
 
 def impact(spark, d):
-    n, e = nodes(spark, d), _links(spark, d)
-    return t.impact(n, e, _start(n, e))
-
-
-def impact_hub(spark, d):
-    n, e = nodes(spark, d), _links(spark, d)
+    """What a change of the hub reaches: the component with most neighbours."""
+    n, e = nodes(spark, d, "seq"), _links(spark, d)
     return t.impact(n, e, _hub(n, e))
 
 
 def impact_severity(spark, d):
-    return t.impact_severity(nodes(spark, d), _links(spark, d))
+    return t.impact_severity(nodes(spark, d, "layer", "critical"), _links(spark, d))
 
 
 def focus_subgraph(spark, d):
-    n, e = nodes(spark, d), _links(spark, d)
-    return t.neighbourhood(e, spark.createDataFrame([(_start(n, e),)], "id string"), 2)
-
-
-def focus_hub(spark, d):
-    n, e = nodes(spark, d), _links(spark, d)
+    n, e = nodes(spark, d, "seq"), _links(spark, d)
     return t.neighbourhood(e, spark.createDataFrame([(_hub(n, e),)], "id string"), 2)
 
 
 def entry_points(spark, d):
-    return t.entry_points(nodes(spark, d))
+    return t.entry_points(nodes(spark, d, "name", "component_type", "layer", "file", "tags"))
 
 
 def reachable(spark, d):
-    return t.reachable(_links(spark, d), t.entry_points(nodes(spark, d)).where("reason = 'type:cron'").select("id"))
+    return t.reachable(_links(spark, d), entry_points(spark, d).select("id"))
 
 
-def reachable_all(spark, d):
-    """What all entry points reach; ``reachable`` has those of type cron only, as its SQL states."""
-    return t.reachable(_links(spark, d), t.entry_points(nodes(spark, d)).select("id"))
+def transitively_dead(spark, d):
+    return t.transitively_dead(_known(spark, d), _links(spark, d))
 
 
-def transitively_dead(spark, d):
-    return t.transitively_dead(nodes(spark, d), _links(spark, d))
+def reachability_report(spark, d):
+    return t.reachability_report(_known(spark, d), _links(spark, d))
 
 
 def trace_paths(spark, d):
-    n, e = nodes(spark, d), _links(spark, d)
-    return t.trace(n, e, _start(n, e), 2)
+    n, e = nodes(spark, d, "component_type", "layer"), _links(spark, d)
+    return t.trace(n, e, _start(n, e), HOPS)
 
 
 def trace_hub(spark, d):
-    """All that flows into the hub over up to HOPS edges."""
-    n, e = nodes(spark, d), _links(spark, d)
-    return t.trace(n, e, _hub(n, e), HOPS, "backward")
+    """All that flows into the hub over up to HUB_HOPS edges."""
+    n, e = nodes(spark, d, "component_type", "layer"), _links(spark, d)
+    return t.trace(n, e, _hub(n, e), HUB_HOPS, "backward")
 
 
 def import_cycles(spark, d):
@@ -127,39 +128,44 @@ def cycle_core(spark, d):
     return t.in_cycle(edges(spark, d, "from_id", "to_id", "connection_type").where("connection_type = 'imports'"))
 
 
+def import_cycle_sets(spark, d):
+    """Strongly connected sets of imports, by their smallest id."""
+    return t.cyclic_sets(edges(spark, d, "from_id", "to_id", "connection_type").where("connection_type = 'imports'"))
+
+
 def pagerank(spark, d):
     """The first ROUNDS rounds, as its SQL unrolls them; ``pagerank_converged`` has the ranks."""
-    return t.pagerank(nodes(spark, d), _links(spark, d), ROUNDS, tolerance=0.0)
+    return t.pagerank(nodes(spark, d, "seq"), _links(spark, d), ROUNDS, tolerance=0.0)
 
 
 def pagerank_converged(spark, d):
-    return t.pagerank(nodes(spark, d), _links(spark, d))
+    return t.pagerank(nodes(spark, d, "seq"), _links(spark, d))
 
 
 def communities(spark, d):
-    return t.communities(nodes(spark, d), _links(spark, d))
+    return t.communities(nodes(spark, d, "seq"), _links(spark, d))
 
 
 def layer_modularity(spark, d):
-    labels = nodes(spark, d).select("component_id", F.coalesce("layer", F.lit("")).alias("community"))
+    labels = nodes(spark, d, "layer").select("component_id", F.coalesce("layer", F.lit("")).alias("community"))
     return t.modularity(_links(spark, d), labels)
 
 
 def bridges(spark, d):
-    return t.bridge_ratio(nodes(spark, d), _links(spark, d))
+    return t.bridge_ratio(nodes(spark, d, "layer"), _links(spark, d))
 
 
 def group_prefixes(spark, d):
-    return t.common_prefix(nodes(spark, d).where("file is not null").select("repo", clean_path(F.col("file")).alias("path")), "repo", "path")
+    return t.common_prefix(nodes(spark, d, "repo", "file").where("file is not null").select("repo", clean_path(F.col("file")).alias("path")), "repo", "path")
 
 
 def duplicate_creation(spark, d):
-    return rules.duplicate_creation(nodes(spark, d), edges(spark, d))
+    return rules.duplicate_creation(nodes(spark, d, "name", "component_type"), edges(spark, d, "to_id", "code"))
 
 
 def escalation(spark, d):
     """Components by weighted signals: centrality percentile .35, bridge .25, violations .30, calls to models .10."""
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = _known(spark, d), cut(edges(spark, d, "from_id", "to_id", "connection_type", "code"))
     mine = n.where("layer <> 'external' or layer is null").select("component_id")
     counts = catalog.degrees(n, e).join(mine, "component_id", "left_semi").select("component_id", (F.col("incoming") + F.col("outgoing")).alias("degree"))
     # percent_rank over all components by range partitions would need no single task; distinct degrees are few, so rank those
@@ -181,8 +187,8 @@ def escalation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_hub, impact_severity, focus_subgraph, focus_hub, entry_points, reachable, reachable_all, transitively_dead,
-        trace_paths, trace_hub, import_cycles, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
+        rules_builtin, rules_counts, rules_degenerate, rules_custom, module_depth, layer_violations, edge_classes, impact, impact_severity, focus_subgraph, entry_points, reachable, transitively_dead, reachability_report,
+        trace_paths, trace_hub, import_cycles, import_cycle_sets, cycle_core, pagerank, pagerank_converged, communities, layer_modularity, bridges, group_prefixes, duplicate_creation, escalation,
     )
 }
 
@@ -200,33 +206,6 @@ _KEY = f"lower(CASE WHEN {_SEGS}[1] IN ('src', 'app', 'lib') THEN coalesce({_SEG
 _TIER = "CASE " + " ".join(f"WHEN {_KEY} IN ({_list(v)}) THEN {k}" for k, v in rules.TIERS.items()) + " END"
 _NAMED = """named AS (SELECT e.*, a.name AS from_name, a.component_type AS from_component_type, a.layer AS from_layer, a.file AS from_file, b.name AS to_name, b.component_type AS to_component_type, b.layer AS to_layer
   FROM edges e LEFT JOIN nodes a ON a.component_id = e.from_id LEFT JOIN nodes b ON b.component_id = e.to_id)"""
-_RULES = f"""{SQL_GRAPH}, {_P}, {_INTERNAL}, {_NAMED},
-imports AS (SELECT e.connection_id, e.from_id, e.to_id FROM edges e JOIN nodes a ON a.component_id = e.from_id JOIN nodes b ON b.component_id = e.to_id WHERE e.connection_type = 'imports'),
-tiers AS (SELECT component_id, {_TIER} AS tier FROM mine),
-violations AS (SELECT e.connection_id, e.from_id, a.tier AS from_tier, b.tier AS to_tier FROM imports e JOIN tiers a ON a.component_id = e.from_id JOIN tiers b ON b.component_id = e.to_id WHERE a.tier > b.tier),
-inner_pairs AS (SELECT DISTINCT i.from_id, i.to_id FROM imports i JOIN mine a ON a.component_id = i.from_id JOIN mine b ON b.component_id = i.to_id WHERE i.from_id <> i.to_id),
-depth AS (SELECT m.component_id, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, round(coalesce(o.c, 0)::DOUBLE / (coalesce(i.c, 0) + 1), 6) AS shallowness FROM mine m
-  LEFT JOIN (SELECT to_id, count(*) c FROM inner_pairs GROUP BY 1) i ON i.to_id = m.component_id LEFT JOIN (SELECT from_id, count(*) c FROM inner_pairs GROUP BY 1) o ON o.from_id = m.component_id),
-duplicates AS (SELECT n.component_id, count(*) AS sites FROM edges e JOIN nodes n ON n.component_id = e.to_id WHERE n.component_type IN ('service', 'llm')
-  AND (contains(coalesce(e.code, ''), n.name || '(') OR contains(coalesce(e.code, ''), '= ' || n.name)) AND NOT regexp_matches(coalesce(e.code, ''), 'static\\s+(let|var)|lazy\\s+var|\\.shared') GROUP BY 1 HAVING count(*) > 1),
-hot AS (SELECT to_id AS component_id, count(*) AS n FROM imports JOIN mine ON mine.component_id = to_id GROUP BY 1 ORDER BY n DESC, component_id LIMIT {rules.RULE_LIMIT}),
-wide AS (SELECT from_id AS component_id, count(*) AS n FROM imports JOIN mine ON mine.component_id = from_id GROUP BY 1 ORDER BY n DESC, component_id LIMIT {rules.RULE_LIMIT}),
-shallow AS (SELECT * FROM depth WHERE fan_out >= 4 AND shallowness >= 2 ORDER BY shallowness DESC, fan_out DESC, component_id LIMIT {rules.RULE_LIMIT}),
-touched AS (SELECT src AS id FROM (SELECT from_id AS src FROM edges UNION SELECT to_id FROM edges) WHERE src IS NOT NULL),
-rule_rows AS (
-  SELECT 'orphan-component' AS rule_id, 'warning' AS severity, component_id, component_type AS detail FROM nodes WHERE component_id NOT IN (SELECT id FROM touched)
-  UNION ALL SELECT 'database-no-backend', 'warning', component_id, 'database' FROM nodes n WHERE layer = 'database' AND NOT EXISTS (SELECT 1 FROM named x WHERE x.to_id = n.component_id AND x.from_layer = 'backend')
-  UNION ALL SELECT 'frontend-direct-db', 'error', from_id, connection_id FROM named WHERE from_layer = 'frontend' AND to_layer = 'database'
-  UNION ALL SELECT 'unused-package', 'info', component_id, 'unused' FROM nodes WHERE status = 'unused'
-  UNION ALL SELECT 'vulnerable-dependency', 'error', component_id, 'vulnerable' FROM nodes WHERE status = 'vulnerable'
-  UNION ALL SELECT 'deprecated-dependency', 'warning', component_id, 'deprecated' FROM nodes WHERE status = 'deprecated'
-  UNION ALL SELECT 'single-point-of-failure', 'warning', n.component_id, CAST(i.c AS VARCHAR) FROM nodes n JOIN (SELECT to_id, count(*) c FROM edges GROUP BY 1) i ON i.to_id = n.component_id WHERE n.layer = 'backend' AND i.c > 5
-  UNION ALL SELECT 'hotspot-module', 'warning', component_id, CAST(n AS VARCHAR) FROM hot WHERE n >= 5
-  UNION ALL SELECT 'high-fan-out', 'warning', component_id, CAST(n AS VARCHAR) FROM wide WHERE n >= 8
-  UNION ALL SELECT 'shallow-module', 'warning', component_id, CAST(fan_out AS VARCHAR) FROM shallow
-  UNION ALL SELECT 'layer-violation', 'error', from_id, from_tier || '>' || to_tier FROM violations
-  UNION ALL SELECT 'duplicate-resource-creation', 'warning', component_id, CAST(sites AS VARCHAR) FROM duplicates)
-"""
 
 
 def _custom_sql() -> str:
@@ -270,8 +249,51 @@ def _converged_sql() -> str:
     SELECT id AS component_id, round(rank, 9) AS rank FROM steps, n WHERE i = (SELECT max(i) FROM steps) AND n.n >= {t.MIN_METRIC_NODES}"""
 
 
-_ENTRY_PATH = f"lower({sql_clean_path(chr(99) + 'oalesce(file, ' + chr(39) * 2 + ')')})"
-_ENTRIES = f"entries AS (SELECT component_id AS id, CASE WHEN component_type IN ({_list(t.ENTRY_TYPES)}) THEN 'type:' || component_type WHEN regexp_matches({_ENTRY_PATH}, '{t.ENTRY_PATHS}') THEN 'path' END AS reason FROM nodes)"
+_ENTRY_PATH = sql_clean_path("coalesce(file, '')")
+_ENTRIES = (
+    f"entries AS (SELECT component_id AS id, CASE WHEN component_type IN ({_list(t.ENTRY_TYPES)}) THEN 'component-type' WHEN regexp_matches(name, '{t.ENTRY_NAMES}') THEN 'name-pattern' WHEN list_has_any(tags, [{_list(t.ENTRY_TAGS)}]) THEN 'tag' "
+    + " ".join(f"WHEN regexp_matches({_ENTRY_PATH}, '{pattern}') THEN '{source}'" for source, pattern in t.ENTRY_PATHS)
+    + f" WHEN layer IN ({_list(t.ENTRY_LAYERS)}) THEN 'infra-layer' END AS reason FROM nodes)"
+)
+_PARTS = f"string_split({_ENTRY_PATH}, '/')"
+_UNREACHED = f"""r AS (SELECT id FROM entries WHERE reason IS NOT NULL UNION SELECT p.dst FROM pairs p JOIN r ON p.src = r.id),
+linked AS (SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges),
+copied AS (SELECT DISTINCT component_id FROM (SELECT component_id, {_PARTS} AS q, unnest(range(2, len({_PARTS}) + 1)) AS i FROM nodes WHERE file IS NOT NULL)
+  WHERE q[i - 1] IN ({_list(PACKAGE_FOLDERS)}) AND q[i] IN (SELECT name FROM nodes WHERE component_type IN ({_list(t.PACKAGE_TYPES)}))),
+unreached AS (SELECT component_id, component_type, CASE WHEN {_PARTS}[-1] IN ({_list(t.MANIFESTS)}) THEN 'dependency-manifest' WHEN list_has_any({_PARTS}, [{_list(VENDOR_SEGMENTS)}]) OR component_id IN (SELECT component_id FROM copied) THEN 'vendored' END AS suppressed
+  FROM nodes WHERE EXISTS (SELECT 1 FROM entries WHERE reason IS NOT NULL) AND component_type NOT IN ({_list(t.NEVER_DEAD)}) AND component_id IN (SELECT id FROM linked) AND component_id NOT IN (SELECT id FROM r))"""
+_CYCLES = """{0}_reach AS (SELECT src AS a, dst AS b FROM {0} UNION SELECT x.a, p.dst FROM {0}_reach x JOIN {0} p ON p.src = x.b),
+{0}_sets AS (SELECT x.a AS id, min(x.b) AS cycle FROM {0}_reach x JOIN {0}_reach y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
+_RULES = f"""{SQL_GRAPH.replace("WITH ", "WITH RECURSIVE ", 1)}, {_P}, {_ENTRIES}, {_UNREACHED}, {_INTERNAL}, {_NAMED},
+imports AS (SELECT e.connection_id, e.from_id, e.to_id FROM edges e JOIN nodes a ON a.component_id = e.from_id JOIN nodes b ON b.component_id = e.to_id WHERE e.connection_type = 'imports'),
+tiers AS (SELECT component_id, {_TIER} AS tier FROM mine),
+violations AS (SELECT e.connection_id, e.from_id, a.tier AS from_tier, b.tier AS to_tier FROM imports e JOIN tiers a ON a.component_id = e.from_id JOIN tiers b ON b.component_id = e.to_id WHERE a.tier > b.tier),
+inner_pairs AS (SELECT DISTINCT i.from_id, i.to_id FROM imports i JOIN mine a ON a.component_id = i.from_id JOIN mine b ON b.component_id = i.to_id WHERE i.from_id <> i.to_id),
+depth AS (SELECT m.component_id, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, round(coalesce(o.c, 0)::DOUBLE / (coalesce(i.c, 0) + 1), 6) AS shallowness FROM mine m
+  LEFT JOIN (SELECT to_id, count(*) c FROM inner_pairs GROUP BY 1) i ON i.to_id = m.component_id LEFT JOIN (SELECT from_id, count(*) c FROM inner_pairs GROUP BY 1) o ON o.from_id = m.component_id),
+duplicates AS (SELECT n.component_id, count(*) AS sites FROM edges e JOIN nodes n ON n.component_id = e.to_id WHERE n.component_type IN ('service', 'llm')
+  AND (contains(coalesce(e.code, ''), n.name || '(') OR contains(coalesce(e.code, ''), '= ' || n.name)) AND NOT regexp_matches(coalesce(e.code, ''), 'static\\s+(let|var)|lazy\\s+var|\\.shared') GROUP BY 1 HAVING count(*) > 1),
+hot AS (SELECT to_id AS component_id, count(*) AS n FROM imports JOIN mine ON mine.component_id = to_id GROUP BY 1 ORDER BY n DESC, component_id LIMIT {rules.RULE_LIMIT}),
+wide AS (SELECT from_id AS component_id, count(*) AS n FROM imports JOIN mine ON mine.component_id = from_id GROUP BY 1 ORDER BY n DESC, component_id LIMIT {rules.RULE_LIMIT}),
+shallow AS (SELECT * FROM depth WHERE fan_out >= 4 AND shallowness >= 2 ORDER BY shallowness DESC, fan_out DESC, component_id LIMIT {rules.RULE_LIMIT}),
+touched AS (SELECT src AS id FROM (SELECT from_id AS src FROM edges UNION SELECT to_id FROM edges) WHERE src IS NOT NULL),
+inner_imports AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM imports WHERE from_id <> to_id), {_CYCLES.format('inner_imports')},
+rule_rows AS (
+  SELECT 'orphan-component' AS rule_id, 'warning' AS severity, component_id, component_type AS detail FROM nodes WHERE component_id NOT IN (SELECT id FROM touched)
+  UNION ALL SELECT 'database-no-backend', 'warning', component_id, 'database' FROM nodes n WHERE layer = 'database' AND NOT EXISTS (SELECT 1 FROM named x WHERE x.to_id = n.component_id AND x.from_layer = 'backend')
+  UNION ALL SELECT 'frontend-direct-db', 'error', from_id, connection_id FROM named WHERE from_layer = 'frontend' AND to_layer = 'database'
+  UNION ALL SELECT 'unused-package', 'info', component_id, 'unused' FROM nodes WHERE status = 'unused'
+  UNION ALL SELECT 'vulnerable-dependency', 'error', component_id, 'vulnerable' FROM nodes WHERE status = 'vulnerable'
+  UNION ALL SELECT 'deprecated-dependency', 'warning', component_id, 'deprecated' FROM nodes WHERE status = 'deprecated'
+  UNION ALL SELECT 'single-point-of-failure', 'warning', n.component_id, CAST(i.c AS VARCHAR) FROM nodes n JOIN (SELECT to_id, count(*) c FROM edges GROUP BY 1) i ON i.to_id = n.component_id WHERE n.layer = 'backend' AND i.c > 5
+  UNION ALL SELECT 'hotspot-module', 'warning', component_id, CAST(n AS VARCHAR) FROM hot WHERE n >= 5
+  UNION ALL SELECT 'high-fan-out', 'warning', component_id, CAST(n AS VARCHAR) FROM wide WHERE n >= 8
+  UNION ALL SELECT 'shallow-module', 'warning', component_id, CAST(fan_out AS VARCHAR) FROM shallow
+  UNION ALL SELECT 'layer-violation', 'error', from_id, from_tier || '>' || to_tier FROM violations
+  UNION ALL SELECT 'duplicate-resource-creation', 'warning', component_id, CAST(sites AS VARCHAR) FROM duplicates
+  UNION ALL SELECT 'circular-dependency', 'error', cycle, CAST(count(*) AS VARCHAR) FROM inner_imports_sets GROUP BY cycle
+  UNION ALL SELECT 'transitively-dead', 'warning', component_id, component_type FROM unreached WHERE suppressed IS NULL)
+"""
 _WEIGHTS = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.ROUTE_WEIGHTS.items()) + " ELSE 0 END"
 _MODEL_SIGNALS = """deg AS (SELECT n.component_id, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM nodes n LEFT JOIN (SELECT to_id, count(*) c FROM edges GROUP BY 1) i ON i.to_id = n.component_id
   LEFT JOIN (SELECT from_id, count(*) c FROM edges GROUP BY 1) o ON o.from_id = n.component_id WHERE n.layer <> 'external' OR n.layer IS NULL),"""
@@ -289,29 +311,22 @@ SQL = {
     "layer_violations": _RULES + "SELECT connection_id, from_tier, to_tier FROM violations",
     "duplicate_creation": _RULES + "SELECT * FROM duplicates",
     "edge_classes": _class_sql(),
-    "impact": f"""{SQL_GRAPH}, {_P}, {_START},
+    "impact": f"""{SQL_GRAPH}, {_P}, {_HUB},
       direct AS (SELECT e.from_id AS affected_id, NULL AS via_id, e.connection_id, 'direct' AS impact_type FROM edges e JOIN start s ON e.to_id = s.id JOIN nodes n ON n.component_id = e.from_id),
       first AS (SELECT DISTINCT affected_id FROM direct)
       SELECT * FROM direct UNION ALL
       SELECT e.from_id, e.to_id, e.connection_id, 'transitive' FROM edges e JOIN first f ON e.to_id = f.affected_id JOIN nodes n ON n.component_id = e.from_id, start s WHERE e.from_id NOT IN (SELECT affected_id FROM first) AND e.from_id <> s.id""",
     "impact_severity": f"""{SQL_GRAPH}, {_P}, d AS (SELECT dst, count(*) AS c FROM pairs JOIN nodes ON component_id = src GROUP BY 1), x AS (SELECT n.component_id, n.layer, n.critical, coalesce(d.c, 0) AS dependents FROM nodes n LEFT JOIN d ON d.dst = n.component_id)
       SELECT component_id, dependents, CASE WHEN layer IN ('database', 'infra') OR dependents > 5 OR coalesce(critical, false) THEN 'critical' WHEN layer = 'backend' OR dependents BETWEEN 3 AND 5 THEN 'high' WHEN dependents = 2 THEN 'medium' ELSE 'low' END AS severity FROM x""",
-    "focus_subgraph": f"""{SQL_GRAPH}, {_P}, {_START}, both_ways AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs),
+    "focus_subgraph": f"""{SQL_GRAPH}, {_P}, {_HUB}, both_ways AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs),
       one AS (SELECT DISTINCT dst AS id FROM both_ways JOIN start ON src = id WHERE dst <> id),
       two AS (SELECT DISTINCT b.dst AS id FROM both_ways b JOIN one ON b.src = one.id WHERE b.dst NOT IN (SELECT id FROM one) AND b.dst NOT IN (SELECT id FROM start))
       SELECT id, 0 AS distance FROM start UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two""",
     "entry_points": f"WITH {SQL_NODES}, {_ENTRIES} SELECT * FROM entries WHERE reason IS NOT NULL",
-    "reachable": f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, {_ENTRIES}, r AS (SELECT id FROM entries WHERE reason = 'type:cron' UNION SELECT p.dst FROM pairs p JOIN r ON p.src = r.id) SELECT id FROM r""",
-    "transitively_dead": f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, {_ENTRIES}, r AS (SELECT id FROM entries WHERE reason IS NOT NULL UNION SELECT p.dst FROM pairs p JOIN r ON p.src = r.id)
-      SELECT component_id, component_type FROM nodes WHERE status = 'active' AND component_type NOT IN ('pip', 'document', 'prompt') AND component_id NOT IN (SELECT id FROM r)""",
-    "trace_paths": f"""{SQL_GRAPH}, {_P}, {_START},
-      step AS (SELECT DISTINCT e.from_id AS src, e.to_id AS dst, e.connection_type AS ct, coalesce(n.layer, '') AS l FROM edges e JOIN nodes n ON n.component_id = e.to_id WHERE e.connection_type <> 'env-dependency' AND e.from_id IS NOT NULL),
-      p0 AS (SELECT [n.component_id] AS ids, []::VARCHAR[] AS ts, [coalesce(n.layer, '')] AS ls FROM nodes n JOIN start s ON s.id = n.component_id),
-      p1 AS (SELECT list_append(ids, dst) AS ids, list_append(ts, ct) AS ts, list_append(ls, l) AS ls FROM p0 JOIN step ON src = ids[-1] WHERE NOT list_contains(ids, dst)),
-      p2 AS (SELECT list_append(ids, dst) AS ids, list_append(ts, ct) AS ts, list_append(ls, l) AS ls FROM p1 JOIN step ON src = ids[-1] WHERE NOT list_contains(ids, dst)),
-      done AS (SELECT * FROM p2 UNION ALL SELECT * FROM p1 WHERE NOT EXISTS (SELECT 1 FROM step WHERE src = p1.ids[-1] AND NOT list_contains(p1.ids, dst)))
-      SELECT array_to_string(ids, '>') AS route, array_to_string(ts, '>') AS types, len(ts) AS hops,
-        list_sum(list_transform(ts, lambda x: {_WEIGHTS.format('x')})) + 2 * greatest(len(list_distinct(list_filter(ls, lambda x: x <> ''))) - 1, 0) + least(len(ids), 6) AS score FROM done""",
+    "reachable": f"WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, {_ENTRIES}, {_UNREACHED} SELECT id FROM r",
+    "transitively_dead": f"WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, {_ENTRIES}, {_UNREACHED} SELECT component_id, component_type FROM unreached WHERE suppressed IS NULL",
+    "reachability_report": f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, {_P}, {_ENTRIES}, {_UNREACHED} SELECT 'entry:' || reason AS item, count(*) AS value FROM entries WHERE reason IS NOT NULL GROUP BY 1
+      UNION ALL SELECT 'suppressed:' || suppressed, count(*) FROM unreached WHERE suppressed IS NOT NULL GROUP BY 1 UNION ALL SELECT 'considered', count(*) FROM unreached""",
     "import_cycles": f"""WITH {SQL_EDGES}, p AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE connection_type = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id)
       SELECT a.src || '>' || a.dst AS cycle, 2 AS length FROM p a JOIN p b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
       UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM p a JOIN p b ON b.src = a.dst JOIN p c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""",
@@ -334,19 +349,28 @@ SQL = {
 }
 
 
-def _trace_hub_sql() -> str:
-    sql = f"""{SQL_GRAPH}, {_P}, {_HUB},
+def _trace_sql(start: str, hops: int, backward: bool) -> str:
+    """All paths from a start; a bridge goes against the edges of one type at a queue that was entered by the other."""
+    src, dst, kind, via = ("b", "a", "queue-consumes", "queue-produces") if backward else ("a", "b", "queue-produces", "queue-consumes")
+    sql = f"""{SQL_GRAPH}, {_P}, {start},
       linked AS (SELECT DISTINCT from_id AS a, to_id AS b, connection_type AS ct FROM edges WHERE connection_type <> 'env-dependency' AND from_id IS NOT NULL AND to_id IS NOT NULL),
-      step AS (SELECT x.*, coalesce(n.layer, '') AS l FROM (SELECT b AS src, a AS dst, ct, NULL AS via FROM linked
-        UNION ALL SELECT a, b, ct, 'queue-produces' FROM linked WHERE ct = 'queue-consumes' AND a IN (SELECT component_id FROM nodes WHERE component_type = 'queue') AND NOT EXISTS (SELECT 1 FROM linked o WHERE o.b = linked.a AND o.a = linked.b)) x JOIN nodes n ON n.component_id = x.dst),
+      step AS (SELECT x.*, coalesce(n.layer, '') AS l FROM (SELECT {src} AS src, {dst} AS dst, ct, NULL AS via FROM linked
+        UNION ALL SELECT {dst}, {src}, ct, '{via}' FROM linked WHERE ct = '{kind}' AND {dst} IN (SELECT component_id FROM nodes WHERE component_type = 'queue') AND NOT EXISTS (SELECT 1 FROM linked o WHERE o.b = linked.a AND o.a = linked.b)) x JOIN nodes n ON n.component_id = x.dst),
       p0 AS (SELECT [n.component_id] AS ids, []::VARCHAR[] AS ts, [coalesce(n.layer, '')] AS ls FROM nodes n JOIN start s ON s.id = n.component_id)"""
     on = "step.src = p{0}.ids[-1] AND NOT list_contains(p{0}.ids, step.dst) AND (step.via IS NULL OR step.via = p{0}.ts[-1])"
-    for i in range(HOPS):
+    for i in range(hops):
         sql += f", p{i + 1} AS (SELECT list_append(ids, dst) AS ids, list_append(ts, ct) AS ts, list_append(ls, l) AS ls FROM p{i} JOIN step ON {on.format(i)})"
-    done = f"SELECT * FROM p{HOPS}" + "".join(f" UNION ALL SELECT * FROM p{i} WHERE NOT EXISTS (SELECT 1 FROM step WHERE {on.format(i)})" for i in range(1, HOPS))
+    done = f"SELECT * FROM p{hops}" + "".join(f" UNION ALL SELECT * FROM p{i} WHERE NOT EXISTS (SELECT 1 FROM step WHERE {on.format(i)})" for i in range(1, hops))
     return sql + f""", done AS ({done}) SELECT array_to_string(ids, '>') AS route, array_to_string(ts, '>') AS types, len(ts) AS hops,
         list_sum(list_transform(ts, lambda x: {_WEIGHTS.format('x')})) + 2 * greatest(len(list_distinct(list_filter(ls, lambda x: x <> ''))) - 1, 0) + least(len(ids), 6) AS score FROM done"""
 
 
-SQL |= {"impact_hub": SQL["impact"].replace(_START, _HUB), "focus_hub": SQL["focus_subgraph"].replace(_START, _HUB), "trace_hub": _trace_hub_sql()}
-SQL["reachable_all"] = SQL["reachable"].replace("reason = 'type:cron'", "reason IS NOT NULL")
+_IMPORTED = f"WITH RECURSIVE {SQL_EDGES}, imported AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE connection_type = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> to_id), {_CYCLES.format('imported')}"
+SQL |= {
+    "trace_hub": _trace_sql(_HUB, HUB_HOPS, True),
+    "trace_paths": _trace_sql(_START, HOPS, False),
+    "import_cycle_sets": f"{_IMPORTED} SELECT id, cycle FROM imported_sets",
+    # between cycles: what a cycle reaches and what reaches a cycle
+    "cycle_core": f"""{_IMPORTED}, downstream AS (SELECT b AS id FROM imported_reach WHERE a IN (SELECT id FROM imported_sets)), upstream AS (SELECT a AS id FROM imported_reach WHERE b IN (SELECT id FROM imported_sets))
+      SELECT DISTINCT id FROM downstream WHERE id IN (SELECT id FROM upstream)""",
+}

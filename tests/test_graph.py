@@ -86,14 +86,58 @@ def test_trace_has_directions_bridges_classes_and_five_hops(spark):
     assert routes("c2", 1, "both") == ["c2>c1", "c2>c3"]
 
 
-def test_reachable_all_starts_from_every_entry_point(spark, tmp_path):
-    from graphloom.plans import graph_queries as g
-
-    n = nodes(spark, ("a", "cron", None, None), ("b", "queue", None, None), ("c", "component", None, "src/main.ts"), *[(x, "component", None, f"src/{x}.ts") for x in ("x", "y", "z", "dead")])
-    e = edges(spark, ("a", "x"), ("b", "y"), ("c", "z"), ("dead", "x"))
-    for name, rows in (("components", n), ("connections", e)):
-        rows.withColumn("arrived_at", F.lit(T)).write.parquet(str(tmp_path / f"{name}.parquet"))
-    assert ids(g.reachable_all(spark, str(tmp_path)), "id") == ["a", "b", "c", "x", "y", "z"]
+@pytest.mark.parametrize("limit", (1 << 19, 0))
+def test_reachability_by_one_task_and_in_rounds(spark, monkeypatch, limit):
+    monkeypatch.setattr(traverse, "PAIRS_OF_ONE_TASK", limit)
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("x", "b"), ("d", "b"), ("y", "z"), (None, "b"), ("d", None))
+    assert ids(traverse.reachable(e, spark.createDataFrame([("a",), (None,), ("a",)], "id string")), "id") == ["a", "b", "c", "d"]
+    chain = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(14)])
+    assert len(ids(traverse.reachable(chain, spark.createDataFrame([("n0",)], "id string")), "id")) == 15
+    assert ids(traverse.reachable(e, spark.createDataFrame([], "id string")), "id") == []
+
+
+def test_entry_points(spark):
+    """Reasons in their order; folders of these names deeper down, hooks and tools are ordinary code."""
+    paths = {
+        "src/__tests__/a.ts": "test-file", "test/b.py": "test-file", "src/c.spec.mts": "test-file", "app/blog/page.tsx": "framework-route", "web/src/app/layout.js": "framework-route", "pages/index.tsx": "framework-route",
+        "middleware.ts": "framework-route", "web/vitest.config.ts": "tooling-config", "packages/x/scripts/run.py": "executable-dir", "web/components/pages/Landing.tsx": None, "src/lib/pages/Profile.tsx": None, "web/hooks/use.ts": None, "tools/x.ts": None, "src/app/util.ts": None, "src/index.ts": None,
+    }
+    rows = [(f"n{i}", "component", "backend", p, {"name": "thing"}) for i, p in enumerate(paths)]
+    more = [("t", "worker", "backend", None, {"name": "w"}), ("m", "component", "backend", None, {"name": "NavApp"}), ("g", "component", "backend", None, {"name": "x", "tags": ["route"]}), ("i", "npm", "external", None, {"name": "x"}), ("q", "queue", "queue", None, {"name": "Domain"}), ("d", "component", "backend", "./src/cli/main.ts", {"name": "x"})]
+    got = dict(ids(traverse.entry_points(nodes(spark, *rows, *more)), "id", "reason"))
+    want = {f"n{i}": r for i, r in enumerate(paths.values()) if r} | {"t": "component-type", "m": "name-pattern", "g": "tag", "i": "infra-layer"}
+    assert got == want
+    declared = spark.createDataFrame([("r", "src/cli/main.ts", "package-entry"), ("other", "x", "package-entry")], "repo string, path string, source string")
+    assert dict(ids(traverse.entry_points(nodes(spark, *rows, *more), declared), "id", "reason")) == want | {"d": "package-entry"}
+
+
+def test_dead_code(spark):
+    own = lambda i, f="src/x.ts": (i, "component", "backend", f, {"name": i})
+    n = nodes(spark, ("cron", "cron", "backend", None), own("used"), own("dead"), own("deadtoo"), own("alone"), own("manifest", "web/package.json"), own("vendored", "a/third_party/x.ts"), own("copied", "web/packages/react/index.js"), own("ours", "web/packages/mine/index.js"), ("lib", "npm", "backend", None, {"name": "react"}))
+    e = edges(spark, ("cron", "used"), ("dead", "deadtoo"), ("dead", "used"), ("manifest", "used"), ("vendored", "used"), ("copied", "used"), ("ours", "used"), ("lib", "used"))
+    assert ids(traverse.transitively_dead(n, e), "component_id") == ["dead", "deadtoo", "ours"]
+    assert dict(ids(traverse.reachability_report(n, e), "item", "value")) == {"entry:component-type": 1, "considered": 6, "suppressed:vendored": 2, "suppressed:dependency-manifest": 1}
+    assert ids(traverse.transitively_dead(n.where("component_id <> 'cron'"), e), "component_id") == []
+
+
+@pytest.mark.parametrize("limit", (1 << 19, 0))
+def test_cyclic_sets(spark, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(traverse, "PAIRS_OF_ONE_TASK", limit)
+    pairs = [("b", "a"), ("a", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "f"), ("g", "a"), (None, "a"), ("h", "i")]
+    assert ids(traverse.cyclic_sets(edges(spark, *pairs)), "id", "cycle") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
+    assert ids(traverse.cyclic_sets(edges(spark, ("a", "b"), ("b", "c"))), "id") == []
+    r = random.Random(4)
+    some = [(f"n{r.randrange(14):02d}", f"n{r.randrange(14):02d}") for _ in range(20)]
+    reach = set(some)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in some if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    want = sorted((a, min(b for x, b in reach if x == a and (b, a) in reach)) for a in {x for x, y in reach if any((y, x) in reach and x != y for y in {q for p, q in reach if p == x})} for _ in (0,))
+    assert ids(traverse.cyclic_sets(edges(spark, *some)), "id", "cycle") == want
 
 
 def test_cycles(spark):
