@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_in_place
+from ..session import cut, cut_in_place
 
 _FIELD, _ENTRY, _NULL = "\x01", "\x02", "\x03"
 
@@ -69,7 +69,7 @@ def runs(keyed: DataFrame) -> DataFrame:
     over as many partitions as it fills; adjacent full keys are compared, and a run that goes on over partitions is
     carried on from one row per partition (the only thing that the driver sees). Rows without key are left out.
     """
-    keyed = keyed.where("key is not null").select("key", "seq")
+    keyed = cut(keyed.where("key is not null").select("key", "seq"))  # else keys are made once for the ranges, once for the rows
     placed = cut_in_place(keyed.repartitionByRange("key", "seq").sortWithinPartitions("key", "seq")).withColumn("pid", F.spark_partition_id())
     ends = placed.mapInArrow(lambda b: _scan(b, True), "pid int, first_key string, last_key string, run_seq long, one_run boolean")
     carried, last, open_seq = [], None, 0
