@@ -48,18 +48,14 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["doc_id", "source", "n_tokens", "pid", "at"]]
 
 
-#: Evenly spaced turns of a source's random offset, of which the one that comes nearest to the target is taken.
-OFFSETS = 32
-
-
-def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int = OFFSETS) -> DataFrame:
+def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int = 1) -> DataFrame:
     """doc_id, source, n_tokens and n_copies (0 or more) of every document with tokens.
 
     Within a source the expected copies are summed along the documents in order of size (ties by a hash of seed and
     id), shifted by one random offset of the source, and a document gets one copy for each integer that its step
-    crosses. Neighbours have nearly equal sizes, so the tokens reached differ from the target by few documents; of
-    ``turns`` evenly spaced turns of the offset the one with the least difference is taken (the mean over all
-    offsets is exactly the target). ``turns=1`` takes the offset as it falls.
+    crosses. Neighbours have nearly equal sizes, so the tokens reached differ from the target by few documents. With
+    ``turns`` above 1, of so many evenly spaced turns of the offset the one that comes nearest to the target is taken;
+    shares are closer then, but a document's chance is no longer exactly its expected copies.
     The running sum is distributed: documents are range-partitioned by (source, size), numbered within partitions,
     and the partitions' counts (one row per partition and source) are summed ahead of each.
     """
@@ -72,15 +68,17 @@ def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int =
     ).withColumn("pid", F.spark_partition_id())
     before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("source", "pid").count().select("source", "pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    schema = "doc_id long, source string, n_tokens long, pid int, at long"
+    schema = f"doc_id {dict(sizes.dtypes)['doc_id']}, source string, n_tokens long, pid int, at long"
     numbered = placed.select("doc_id", "source", "n_tokens", "pid").mapInPandas(_numbered, schema)
     shift = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     joined = join_lookup(join_lookup(numbered, offsets, ["source", "pid"]), plan.select("source", "copies", "available_tokens"), ["source"])
-    steps = cut(joined.select("doc_id", "source", "n_tokens", "copies", "available_tokens", (F.col("at") + F.col("ahead")).cast("double").alias("k")))
+    steps = (cut if turns > 1 else lambda df: df)(joined.select("doc_id", "source", "n_tokens", "copies", "available_tokens", (F.col("at") + F.col("ahead")).cast("double").alias("k")))
 
     def crossed(offset):
         return (F.floor((F.col("k") + 1) * F.col("copies") + offset) - F.floor(F.col("k") * F.col("copies") + offset)).cast("int")
 
+    if turns == 1:
+        return steps.select("doc_id", "source", "n_tokens", crossed(shift).alias("n_copies"))
     turned = [(shift + j / turns) % 1.0 for j in range(turns)]
     reached = steps.groupBy("source").agg(
         F.max(F.col("copies") * F.col("available_tokens")).alias("target"),
@@ -91,24 +89,24 @@ def sample_copies(sizes: DataFrame, plan: DataFrame, seed: int = 1, turns: int =
     return join_lookup(steps, best, ["source"]).select("doc_id", "source", "n_tokens", crossed(F.col("offset")).alias("n_copies"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 1) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 1, turns: int = 1) -> DataFrame:
     """The mixture: doc_id, copy_no (from 1), source, n_tokens, text, one row per copy.
 
     doc_id must be unique. Documents without tokens (null and empty texts) add nothing to any share and are not in
     it; documents of other or null sources are not either. No document has more than max_repeats copies.
     """
     sizes = document_sizes(documents, targets)
-    chosen = sample_copies(sizes, cut(source_plan(sizes, targets, total_tokens)), seed).where("n_copies > 0").select("doc_id", "n_tokens", "n_copies")
+    chosen = sample_copies(sizes, cut(source_plan(sizes, targets, total_tokens)), seed, turns).where("n_copies > 0").select("doc_id", "n_tokens", "n_copies")
     rows = documents.select("doc_id", "source", "text").join(chosen, "doc_id")
     return rows.select("doc_id", F.explode(F.sequence(F.lit(1), "n_copies")).alias("copy_no"), "source", "n_tokens", "text")
 
 
-def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 1) -> DataFrame:
+def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 1, turns: int = 1) -> DataFrame:
     """Per target source: target_share, max_repeats, documents, available_tokens, mixed_documents (distinct),
     mixed_copies, most_copies, mixed_tokens, reached_share (of all mixed tokens; null if the mixture is empty)."""
     sizes = document_sizes(documents, targets)
     plan = cut(source_plan(sizes, targets, total_tokens))
-    got = sample_copies(sizes, plan, seed).groupBy("source").agg(
+    got = sample_copies(sizes, plan, seed, turns).groupBy("source").agg(
         F.count_if(F.col("n_copies") > 0).alias("mixed_documents"),
         F.sum("n_copies").alias("mixed_copies"),
         F.max("n_copies").cast("long").alias("most_copies"),
