@@ -20,7 +20,7 @@ _BLOCKS = (
     r"|-----BEGIN [A-Z0-9 ]+-----(?:[A-Za-z0-9+/=\s]|\\[nrt])*"
 )
 # A quoted literal without white space, with digits and marks; it is one token if ``whole_literal`` says so.
-_LITERALS = r"(?<=^|[\s=:(\[,{+?>])(?P<quote>[\"'`])(?P<literal>(?=[^\s\"'`]*[^\s\"'`\w])(?=[^\s\"'`]*\d|[^\s\"'`]*\\)(?:\\[^\s]|(?!(?P=quote))[^\s\\]){6,200})(?=(?P=quote))"
+_LITERALS = r"(?P<quote>[\"'`])(?<![^\s=:(\[,{+?>][\"'`])(?P<literal>(?=[^\s\"'`]*[^\s\"'`\w])(?=[^\s\"'`]*\d|[^\s\"'`]*\\)(?:\\[^\s]|(?!(?P=quote))[^\s\\]){6,200})(?=(?P=quote))"
 _PLAIN = (
     r"\n|://"
     r"|[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z0-9_-]{20,}"  # dotted tokens
