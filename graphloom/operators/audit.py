@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph_views import clean_path
@@ -89,19 +91,24 @@ def ewma(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
     The first five values fix mean and population variance; from then on z = 0.2 (x - mean) + 0.8 z, with limits of
     2.7 stabilised standard errors. A series is ordered by ``at``, one value each; it is a summary (per day, per
-    scan), not raw records.
+    scan), not raw records, and is charted in one pass. A null value is no observation.
     """
-    w = Window.partitionBy(key).orderBy(at)
-    s = series.withColumn("n", F.row_number().over(w)).withColumn("__all", F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    warm = F.slice("__all", 1, EWMA_WARMUP)
-    mean = F.aggregate(warm, F.lit(0.0), lambda a, x: a + x) / F.size(warm)
-    s = s.withColumn("__m", mean).withColumn("__v", F.aggregate(warm, F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))) / F.size(warm))
-    tail = F.slice("__all", EWMA_WARMUP + 1, F.greatest(F.size("__all") - EWMA_WARMUP, F.lit(0)))
-    z = F.aggregate(tail, F.lit(0.0), lambda a, x: EWMA_LAMBDA * (x - F.col("__m")) + (1 - EWMA_LAMBDA) * a)
-    k = F.col("n") - EWMA_WARMUP
-    limit = EWMA_WIDTH * F.sqrt(F.greatest(F.col("__v"), F.lit(1e-12))) * F.sqrt(F.lit(EWMA_LAMBDA / (2 - EWMA_LAMBDA)) * (1 - F.pow(F.lit(1 - EWMA_LAMBDA), 2 * k)))
-    s = s.withColumn("z", F.when(k > 0, z).otherwise(0.0)).withColumn("limit", F.when(k > 0, limit).otherwise(0.0))
-    return s.select(key, at, "n", F.round("z", 9).alias("z"), F.round("limit", 9).alias("limit"), ((k > 0) & (F.abs("z") > F.col("limit"))).alias("breach"))
+    types = dict(series.dtypes)
+
+    def chart(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, kind="stable")
+        x = pdf[value].to_numpy(float)
+        warm = x[:EWMA_WARMUP]
+        mean, spread = warm.mean(), max(((warm - warm.mean()) ** 2).mean(), 1e-12) ** 0.5
+        z, last = np.zeros(len(x)), 0.0
+        for i in range(EWMA_WARMUP, len(x)):
+            z[i] = last = EWMA_LAMBDA * (x[i] - mean) + (1 - EWMA_LAMBDA) * last
+        k = np.arange(len(x)) + 1 - EWMA_WARMUP
+        limit = np.where(k > 0, EWMA_WIDTH * spread * np.sqrt(EWMA_LAMBDA / (2 - EWMA_LAMBDA) * (1 - (1 - EWMA_LAMBDA) ** (2.0 * np.maximum(k, 0)))), 0.0)
+        return pd.DataFrame({key: pdf[key], at: pdf[at], "n": np.arange(1, len(x) + 1), "z": z.round(9), "limit": limit.round(9), "breach": (k > 0) & (np.abs(z) > limit)})
+
+    rows = series.select(key, at, value).where(F.col(value).isNotNull())
+    return rows.groupBy(key).applyInPandas(chart, f"`{key}` {types[key]}, `{at}` {types[at]}, n int, z double, limit double, breach boolean")
 
 
 def wrong_endpoints(edges: DataFrame, source_files: DataFrame) -> DataFrame:

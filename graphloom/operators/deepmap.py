@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .skew import numbered
 
 #: Limits of packets and findings, and the kinds of findings.
 NODES_PER_PACKET, MIN_GROUP = 60, 3
@@ -14,14 +16,14 @@ FINDING_SCHEMA = "array<struct<component_id:string,kind:string,text:string,evide
 def packet_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Groups of each repo by layer, most connected first, at most 60 a part; layers of under 3 join in ``residual``.
 
-    repo, label, part, component_id. Parts are cut in order of degree and id; order is over one repo's layer.
+    repo, label, part, component_id. Parts are cut in order of degree and id.
     """
     both = edges.select(F.explode(F.array("from_id", "to_id")).alias("component_id")).where("component_id is not null").groupBy("component_id").agg(F.count(F.lit(1)).alias("degree"))
     n = nodes.select("repo", "component_id", F.coalesce("layer", F.lit("external")).alias("layer")).join(both, "component_id", "left")
     sizes = n.groupBy("repo", "layer").agg(F.count(F.lit(1)).alias("n"))
     labelled = n.join(sizes, ["repo", "layer"]).withColumn("label", F.when(F.col("n") < MIN_GROUP, "residual").otherwise(F.concat(F.lit("layer-"), "layer")))
-    w = Window.partitionBy("repo", "label").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "component_id")
-    return labelled.select("repo", "label", (F.floor((F.row_number().over(w) - 1) / NODES_PER_PACKET) + 1).cast("int").alias("part"), "component_id")
+    placed = numbered(labelled.select("repo", "label", F.coalesce("degree", F.lit(0)).alias("degree"), "component_id"), ["repo", "label"], [F.desc("degree"), "component_id"])
+    return placed.select("repo", "label", (F.floor((F.col("position") - 1) / NODES_PER_PACKET) + 1).cast("int").alias("part"), "component_id")
 
 
 def ingest(results: DataFrame, packets: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 PURPOSES = (
     ("chart|visual|plot|diagram", "chart-generation"), ("rerank|rank", "reranking"), ("summar", "summarization"), ("embed", "embedding"), ("extract", "extraction"), ("entity|ner|relation", "entity-extraction"),
     ("theme|topic|cluster", "theme-extraction"), ("trend|forecast", "trend-analysis"), ("classif|categor|label", "classification"), ("search|query|retriev", "search"), ("translat", "translation"),
-    ("chat|convers|dialog", "chat"), ("agent|tool|function.?call", "agent"), ("synthe[sz]", "synthesis"), ("chunk", "chunking"), ("ingest|scrape|crawl", "ingestion"), ("aggregat", "aggregation"),
-    ("generat|produc", "generation"), ("fallback|retry|backup", "fallback"), ("validat|verif", "validation"), ("analy[zs]", "analysis"),
+    ("chat|convers|dialog", "chat"), ("agent|tool|function.?call", "agent"), ("synthe[sz]", "synthesis"), ("chunk", "chunking"), ("ingest|scrape|crawl|fetch.*rss", "ingestion"), ("aggregat", "aggregation"),
+    ("generat|produc", "generation"), ("fallback|retry|backup", "fallback"), ("validat|verif", "validation"), ("analyz|analys", "analysis"),
 )
-FOLDERS = (("/search/", "search"), ("/queues?/", "queue-processing"), ("/workers?/", "worker"), ("/(ai|llm)/", "ai-core"), ("/services/", "service"), ("/adapters?/", "adapter"), ("/analytics?/", "analytics"))
+FOLDERS = (
+    ("/search/", "search"), ("/synthesis/", "synthesis"), ("/knowledge-graph/", "knowledge-graph"), ("/kg/", "knowledge-graph"), ("/queue/", "queue-processing"), ("/queues/", "queue-processing"), ("/workers?/", "worker"),
+    ("/ai/", "ai-core"), ("/llm/", "ai-core"), ("/services/", "service"), ("/adapters?/", "adapter"), ("/ingestion/", "ingestion"), ("/aggregation/", "aggregation"), ("/analytics?/", "analytics"),
+)
+#: Classes of edges that are no use, and symbols that say nothing about the purpose of a call.
+UNUSED_CLASSES = ("test", "dev-only", "migration")
+PLAIN_SYMBOLS = (
+    "create", "call", "invoke", "run", "execute", "send", "post", "get", "fetch", "from", "init", "setup", "config", "use", "with", "wrap", "log", "emit", "on", "off", "set", "add", "remove", "update", "delete", "load", "save",
+    "start", "stop", "open", "close", "connect", "disconnect", "enabled", "disabled", "model", "capture", "samplingRate", "tracing_enabled", "langsmith_enabled", "traceable", "fromZodSchema", "withRetry", "default", "module", "exports", "require", "import",
+)
+PROVIDER_SYMBOLS = ("openai", "anthropic", "groq", "cohere", "mistral", "replicate", "chatopenai", "chatgroq", "chatanthropic", "chatmistral", "langsmith", "langchain")
 OBSERVERS = ("langsmith", "datadog", "opentelemetry", "sentry")
 #: Prompt categories by words, in order.
 PROMPT_CATEGORIES = (("summari[sz]e|summary", "summarization"), ("extract|parse", "extraction"), ("classify|categorize", "classification"), ("translate", "translation"), ("tool|function_call", "agent"), ("embed", "embedding"), ("chat|conversation", "chat"))
@@ -29,13 +39,32 @@ def purpose_of(symbol, file):
     return out
 
 
-def use_cases(llm_calls: DataFrame) -> DataFrame:
-    """One use case per repo and file: call_sites, providers, main_provider (no observer unless there is nothing else,
-    most calls, then name), purpose (of the first call by seq that has one). Re-deliveries (same call_id) count once."""
-    calls = llm_calls.where("file is not null").groupBy("call_id", "repo", "file", "provider", "name").agg(F.min("seq").alias("seq"))
-    per = calls.groupBy("repo", "file", "provider").agg(F.count(F.lit(1)).alias("n"), F.min_by(purpose_of(F.col("name"), F.col("file")), F.when(purpose_of(F.col("name"), F.col("file")).isNotNull(), F.col("seq"))).alias("purpose"), F.min(F.when(purpose_of(F.col("name"), F.col("file")).isNotNull(), F.col("seq"))).alias("first"))
-    rank = F.struct(F.coalesce(F.lower("provider").isin(*OBSERVERS), F.lit(True)).alias("o"), (-F.col("n")).alias("n"), F.coalesce("provider", F.lit("~")).alias("p"))
-    return per.groupBy("repo", "file").agg(F.sum("n").alias("call_sites"), F.count("provider").alias("providers"), F.min_by("provider", rank).alias("main_provider"), F.min_by("purpose", "first").alias("purpose"))
+def use_cases(nodes: DataFrame, edges: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Uses of models, one per repo and file that calls one: repo, file, call_sites, providers, main_provider, purpose,
+    grouped_by (prompt, function or file).
+
+    Edges to components of type llm count, without those of tests, development and migrations, imports that no call of
+    the same file to the same model accompanies, and repeats of file, symbol and model. The purpose is the category of
+    the first prompt (by seq) that lies in the file or is used by it, else what the first telling symbol (by seq), the
+    file's name or its folder says. The main provider is no observer unless there is nothing else, then the first name.
+    """
+    models = nodes.where("component_type = 'llm'").select(F.col("component_id").alias("to_id"), F.col("name").alias("provider"))
+    calls = edges.where("file is not null").select("seq", "repo", "file", "symbol", "to_id", "connection_type", "classification").join(models, "to_id").where(~F.coalesce(F.col("classification").isin(*UNUSED_CLASSES), F.lit(False)))
+    one = calls.groupBy("repo", "file", "symbol", "to_id", "provider").agg(F.min("seq").alias("seq"), F.bool_or(F.col("connection_type") != "imports").alias("call"))
+    per = one.groupBy("repo", "file", "to_id", "provider").agg(F.bool_or("call").alias("called"))
+    kept = one.join(per.where("called").select("repo", "file", "to_id"), ["repo", "file", "to_id"], "left_semi")
+    telling = (F.length("symbol") >= 3) & ~F.col("symbol").isin(*PLAIN_SYMBOLS) & ~F.lower("symbol").isin(*PROVIDER_SYMBOLS) & ~F.col("symbol").rlike(r"^anonymous_\d+$|^(\./|/|\.\.)")
+    kept = kept.withColumn("told", F.when(telling, purpose_of(F.col("symbol"), F.col("file"))))
+    told = F.col("told")
+    files = kept.groupBy("repo", "file").agg(
+        F.count(F.lit(1)).alias("call_sites"), F.countDistinct("to_id").alias("providers"), F.min_by("provider", F.struct(F.lower("provider").isin(*OBSERVERS).alias("o"), F.col("provider").alias("p"))).alias("main_provider"),
+        F.min_by(told, F.when(told.isNotNull(), F.col("seq"))).alias("by_symbol"),
+    )
+    known = prompts.where("category is not null and category <> 'unknown'").select("repo", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("file"), F.coalesce("used_by", F.array().cast("array<string>")))))).alias("file"), "seq", "category")
+    first = known.groupBy("repo", "file").agg(F.min_by("category", "seq").alias("by_prompt"))
+    rows = files.join(first, ["repo", "file"], "left")
+    how = F.when(F.col("by_prompt").isNotNull(), "prompt").when(F.col("by_symbol").isNotNull(), "function").otherwise("file")
+    return rows.select("repo", "file", "call_sites", "providers", "main_provider", F.coalesce("by_prompt", "by_symbol", purpose_of(F.lit(""), F.col("file"))).alias("purpose"), how.alias("grouped_by"))
 
 
 def shared_dependencies(nodes: DataFrame) -> DataFrame:

@@ -38,17 +38,6 @@ ENV_CATEGORIES = (
 #: Protocols of connection addresses and what they lead to.
 RESOURCES = {"database": ("postgres", "postgresql", "mysql", "mongodb"), "cache": ("redis", "rediss"), "queue": ("amqp", "amqps"), "api": ("http", "https")}
 ADDRESS = r"(?:^|[^A-Za-z0-9+.])(postgres|postgresql|mysql|mongodb|redis|rediss|amqp|amqps|http|https)://(?:[^/@\s\"'`]*@)?([A-Za-z0-9][A-Za-z0-9.-]*)(?::([0-9]{1,5}))?(/[A-Za-z0-9_./-]*)?"
-#: Call patterns of services, what imports corroborate them.
-SERVICES = (
-    ("Model API", r"client\.messages\.create", r"anthropic|messages"),
-    ("Object mapper", r"prisma\.[A-Za-z_]+\.[A-Za-z]+\(", r"prisma"),
-    ("HTTP fetch", r"(?:^|[^A-Za-z0-9_.])fetch\(", r"fetch"),
-    ("Queue worker", r"new Worker\(", r"bullmq|Worker"),
-    ("Router", r"router\.(?:get|post|put|delete|patch)\(", r"router"),
-    ("Web route", r"@app\.route\(", r"flask|app"),
-    ("Session query", r"session\.(?:query|get|execute)\(", r"session|sqlalchemy"),
-)
-EXAMPLES = r"(code|example|snippet|sample|mock):\s*[\"'`]"
 #: Declarations of compiled languages.
 DECLARATIONS = {
     "rust": (("fn", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+([A-Za-z0-9_]+)"), ("struct", r"^\s*(?:pub\s+)?struct\s+([A-Za-z0-9_]+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+([A-Za-z0-9_]+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+([A-Za-z0-9_]+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+([A-Za-z0-9_:]+)"), ("mod", r"^\s*(?:pub\s+)?mod\s+([A-Za-z0-9_]+)")),
@@ -193,29 +182,6 @@ def queue_roles(rows: DataFrame, key: str, code: str) -> DataFrame:
     return found.select(key, "r.role", "r.queue", "r.job", limit.alias("concurrency"))
 
 
-def service_calls(lines: DataFrame, key: str, file: str, line_no: str, text: str) -> DataFrame:
-    """Calls of services in lines of code with the guarded confidence: key, line, service, confidence (0.5 and more).
-
-    0.9; nothing in comments (any // before the call) and examples; -0.3 inside a string; by file -0.4 (documents),
-    -0.3 (generated, minified), -0.1 (configuration); -0.2 if the file's line set does not import the service.
-    The service table is a fixed list, tested in one pass over the lines.
-    """
-    t = F.col(text)
-    trimmed = F.ltrim(t)
-    note = F.startswith(trimmed, F.lit("//")) | F.startswith(trimmed, F.lit("#")) | F.startswith(trimmed, F.lit("*"))
-    f = F.coalesce(F.col(file), F.lit(""))
-    by_file = F.when(f.rlike(r"\.(md|mdx|txt|rst|adoc)$"), -0.4).when(f.rlike(r"\.(d\.ts|map|min\.js)$|/(dist|build|generated)/"), -0.3).when(f.rlike(r"\.(json|ya?ml|toml|ini)$"), -0.1).otherwise(0.0)
-    tests = []
-    for name, pattern, proof in SERVICES:
-        before = F.regexp_extract(t, rf"^(.*?)(?:{pattern})", 1)
-        quotes = (F.length(before) - F.length(F.replace(before, F.lit("'"), F.lit("")))) % 2 + (F.length(before) - F.length(F.replace(before, F.lit('"'), F.lit("")))) % 2
-        conf = F.lit(0.9) - F.when(quotes > 0, 0.3).otherwise(0.0) + by_file - F.when(t.rlike(proof), 0.0).otherwise(0.2)
-        dead = note | F.contains(before, F.lit("//")) | t.rlike(EXAMPLES)
-        tests.append(F.when(t.rlike(pattern) & ~dead, F.struct(F.lit(name).alias("service"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 2).alias("confidence"))))
-    hits = lines.select(key, line_no, F.explode(F.array_compact(F.array(*tests))).alias("s"))
-    return hits.select(key, line_no, "s.service", "s.confidence").where("confidence >= 0.5")
-
-
 def declarations(files: DataFrame) -> DataFrame:
     """Declarations by language: file_id, line, kind, name."""
     lines = lines_of(files, "file_id", "content", "code_lang")
@@ -261,14 +227,16 @@ def document_links(documents: DataFrame, key: str = "doc_id", text: str = "text"
     Header lines between --- marks at the start hold no links. Targets lose aliases, anchors, ./ and .md; web
     addresses and bare anchors are none. Documents' lines are numbered within the document only.
     """
-    numbered = spread(documents.where(F.col(text).isNotNull()).select(key, text), key).select(key, F.split(text, r"\r?\n").alias("ls"))
-    closing = F.array_position(F.slice(F.transform("ls", trimmed), 2, F.greatest(F.size("ls") - 1, F.lit(0))), "---")
-    body = F.when((trimmed(F.get("ls", F.lit(0))) == "---") & (closing > 0), closing + 1).otherwise(0)
-    lines = numbered.select(key, body.alias("b"), F.posexplode("ls").alias("line", "content")).withColumn("line", F.col("line") + 1).where("line > b")
-    fence = F.col("content").rlike(r"^\s*(```|~~~)")
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_lines = lines.withColumn("f", fence.cast("int")).withColumn("depth", F.sum("f").over(w) % 2).where("f = 0 and depth = 0")
-    plain = open_lines.withColumn("content", F.regexp_replace("content", r"`[^`]*`", ""))
+    ls = F.col("ls")
+    split = spread(documents.where(F.col(text).isNotNull()).select(key, text), key).where(F.col(text).rlike(r"\[\[|\]\(")).select(key, F.split(text, r"\r?\n").alias("ls"))
+    closing = F.array_position(F.slice(F.transform(ls, trimmed), 2, F.greatest(F.size(ls) - 1, F.lit(0))), "---")
+    body = F.when((trimmed(F.get(ls, F.lit(0))) == "---") & (closing > 0), closing + 1).otherwise(0)
+    marks = F.array_compact(F.transform(ls, lambda x, i: F.when(x.rlike(r"^\s*(```|~~~)"), i + 1)))
+    parted = split.select(key, "ls", body.alias("b"), F.filter(marks, lambda p: p > body).alias("fences"))
+    # the parity of fences before a line tells whether it is code; lines without a bracket of a link are not taken apart
+    told = F.filter(F.transform(ls, lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))), lambda x: (x["line"] > F.col("b")) & x["content"].rlike(r"\[\[|\]\("))
+    lines = parted.select(key, "fences", F.inline(told)).where(~F.array_contains("fences", F.col("line")) & (F.size(F.filter("fences", lambda p: p < F.col("line"))) % 2 == 0))
+    plain = lines.select(key, "line", F.regexp_replace("content", r"`[^`]*`", "").alias("content"))
     wiki = F.transform(F.regexp_extract_all("content", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda x: F.struct(F.lit("wikilink").alias("type"), wiki_target(x).alias("target")))
     web = F.transform(F.regexp_extract_all("content", F.lit(r"(?:^|[^!])\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda x: F.struct(F.lit("markdown-link").alias("type"), markdown_target(x).alias("target")))
     hits = plain.select(key, "line", F.explode(F.concat(wiki, web)).alias("h"))

@@ -35,6 +35,12 @@ def version_part(version: Column, part: int) -> Column:
     return F.expr("try_cast(null as int)") if part not in (1, 2, 3) else F.nullif(F.regexp_extract(version, r"^[^0-9]*([0-9]+)\.([0-9]+)\.([0-9]+)", part), F.lit("")).try_cast("long")
 
 
+def version_key(version: Column) -> Column:
+    """The numbers of a version, missing ones as 0, so that 10.0.0 comes after 9.0.0; null for null."""
+    p = r"^[^0-9]*([0-9]+)(?:[.]([0-9]+))?(?:[.]([0-9]+))?"
+    return F.when(version.isNotNull(), F.array(*[F.coalesce(F.nullif(F.regexp_extract(version, p, k), F.lit("")).try_cast("long"), F.lit(0).cast("long")) for k in (1, 2, 3)]))
+
+
 def bump_class(before: Column, after: Column) -> Column:
     """major, minor or patch; unparseable versions count as minor."""
     a, b = [version_part(before, i) for i in (1, 2)], [version_part(after, i) for i in (1, 2)]
@@ -113,13 +119,13 @@ def file_changes(source_files: DataFrame, moment: str) -> DataFrame:
 def freshness(nodes: DataFrame, latest: DataFrame, as_of: str, window_days: int = 7) -> DataFrame:
     """Freshness of each external package against ``latest`` (name, component_type, latest_version, checked_at).
 
-    unresolved (not listed or never checked), stale (another version is installed; with its bump), drifting (the check
+    unresolved (not listed or never checked), stale (an older version is installed; with its bump), drifting (the check
     is older than the window) or current. A null installed version is never stale. component_id, freshness, bump.
     """
     packages = nodes.where(F.col("component_type").isin(*PACKAGE_TYPES)).select("component_id", "name", "component_type", "version")
     j = packages.join(latest, ["name", "component_type"], "left")
     overdue = F.col("checked_at") < F.lit(as_of).cast(dict(latest.dtypes)["checked_at"]) - F.expr(f"interval {window_days} days")
-    newer = F.coalesce((F.col("version") != F.col("latest_version")), F.lit(False))
+    newer = F.coalesce(version_key(F.col("latest_version")) > version_key(F.col("version")), F.lit(False))
     state = F.when(F.col("checked_at").isNull(), "unresolved").when(newer, "stale").when(overdue, "drifting").otherwise("current")
     return j.select("component_id", state.alias("freshness"), F.when(state == "stale", bump_class(F.col("version"), F.col("latest_version"))).alias("bump"))
 

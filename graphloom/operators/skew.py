@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import cut
 
 #: A lookup side is broadcast up to this many bytes (measured on the data, not estimated by the planner).
 BROADCAST_BYTES = 16 << 20
@@ -48,3 +50,18 @@ def join_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str
     hot_rows, rest = big.join(hot_df, keys, "left_semi"), big.join(hot_df, keys, "left_anti")
     hot_lookup = lookup.join(hot_df, keys, "left_semi")
     return hot_rows.join(F.broadcast(hot_lookup), keys, how).unionByName(rest.join(lookup, keys, how))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Adds ``position`` (from 1) of each row among the rows of its keys by ``order``, which should be total.
+
+    A window over the keys would sort a hot key in one task. Instead rows are range-partitioned by keys and order and
+    numbered within partitions, and the counts of the partitions before (one row per partition and key) are added.
+    Rows with a null key are left out.
+    """
+    keys, order = list(keys), [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = cut(df.dropna(subset=keys).repartitionByRange(*keys, *order).withColumn("__pid", F.spark_partition_id()))
+    ahead = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__n")).select(*keys, "__pid", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    at = F.row_number().over(Window.partitionBy("__pid", *keys).orderBy(*order))
+    return placed.withColumn("__at", at).join(counts, [*keys, "__pid"]).select(*df.columns, (F.col("__at") + F.col("__ahead")).alias("position"))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from ..operators import deepmap as m, rules
+from ..operators import deepmap as m
 from ..operators.graph_views import SQL_GRAPH, edges, nodes
-from .graph_queries import _RULES
+from .graph_queries import _RULES, _known, _rule_rows
 
 
 def packet_groups(spark, d):
-    return m.packet_groups(nodes(spark, d), edges(spark, d, "from_id", "to_id"))
+    return m.packet_groups(nodes(spark, d, "repo", "layer"), edges(spark, d, "from_id", "to_id"))
 
 
 def executive_summary(spark, d):
-    n = nodes(spark, d)
-    return m.executive_summary(n, rules.builtin_rules(n, edges(spark, d)))
+    n = _known(spark, d)
+    return m.executive_summary(n, _rule_rows(spark, d, n))
 
 
 def top_diagram(spark, d):

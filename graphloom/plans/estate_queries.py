@@ -17,8 +17,8 @@ def _snap(spark, d):
 
 
 def _latest_versions(n):
-    """The largest version string per package is taken as the registry's record, checked when it was first seen."""
-    return n.where("version is not null").groupBy("name", "component_type").agg(F.max("version").alias("latest_version"), F.max("first_seen_at").alias("checked_at"))
+    """The newest version (by its three numbers) that any repo has of a package stands for the registry's record."""
+    return n.where("version is not null").groupBy("name", "component_type").agg(F.max_by("version", F.struct(h.version_key(F.col("version")).alias("k"), "version")).alias("latest_version"), F.max("first_seen_at").alias("checked_at"))
 
 
 def snapshot_significance(spark, d):
@@ -46,7 +46,7 @@ def file_changes(spark, d):
 
 
 def package_freshness(spark, d):
-    n = nodes(spark, d)
+    n = nodes(spark, d, "name", "component_type", "version", "first_seen_at")
     return h.freshness(n, _latest_versions(n), AS_OF, 180)
 
 
@@ -95,7 +95,8 @@ def error_drift(spark, d):
 
 
 def llm_use_cases(spark, d):
-    return s.use_cases(table(spark, d, "llm_calls"))
+    e = edges(spark, d, "seq", "repo", "file", "symbol", "to_id", "connection_type", "classification")
+    return s.use_cases(nodes(spark, d, "name", "component_type"), e, table(spark, d, "prompts"))
 
 
 def shared_dependencies(spark, d):
@@ -195,6 +196,8 @@ def _category(content: str) -> str:
 _LN = __import__("math").log
 _P0, _P1 = 0.05, 0.15
 
+_VERSION = lambda v: "[" + ", ".join(f"coalesce(try_cast(nullif(regexp_extract({v}, '^[^0-9]*([0-9]+)(?:[.]([0-9]+))?(?:[.]([0-9]+))?', {k}), '') AS BIGINT), 0)" for k in (1, 2, 3)) + "]"
+
 SQL = {
     "snapshot_significance": _PAIRS
     + f""", g AS (SELECT snapshot_id, count(*) FILTER (added) AS added, count(*) FILTER (removed) AS removed, count(*) FILTER (modified) AS modified, count(*) FILTER (NOT added) AS before,
@@ -215,9 +218,9 @@ SQL = {
     "file_changes": f"""WITH s AS (SELECT repo, {sql_clean_path('file')} AS path, scanned_at, file_id, sha256(content) AS h FROM source_files WHERE file IS NOT NULL),
       g AS (SELECT repo, path, arg_max({{'h': h}}, {{'t': scanned_at, 'i': file_id}}) FILTER (scanned_at <= TIMESTAMP '{SCAN_AT}') AS a, arg_max({{'h': h}}, {{'t': scanned_at, 'i': file_id}}) AS b FROM s GROUP BY 1, 2)
       SELECT repo, path, CASE WHEN b.h IS NULL AND a.h IS NOT NULL THEN 'removed' WHEN a IS NULL THEN 'added' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'modified' END AS change FROM g""",
-    "package_freshness": f"""WITH {SQL_NODES}, l AS (SELECT name, component_type, max(version) AS latest_version, max(first_seen_at) AS checked_at FROM nodes WHERE version IS NOT NULL GROUP BY 1, 2),
+    "package_freshness": f"""WITH {SQL_NODES}, l AS (SELECT name, component_type, arg_max(version, {{'k': {_VERSION('version')}, 'v': version}}) AS latest_version, max(first_seen_at) AS checked_at FROM nodes WHERE version IS NOT NULL GROUP BY 1, 2),
       j AS (SELECT n.component_id, n.version, l.* FROM nodes n LEFT JOIN l USING (name, component_type) WHERE n.component_type IN ({_list(h.PACKAGE_TYPES)})),
-      f AS (SELECT *, CASE WHEN checked_at IS NULL THEN 'unresolved' WHEN version <> latest_version THEN 'stale' WHEN checked_at < TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY THEN 'drifting' ELSE 'current' END AS freshness FROM j)
+      f AS (SELECT *, CASE WHEN checked_at IS NULL THEN 'unresolved' WHEN {_VERSION('latest_version')} > {_VERSION('version')} THEN 'stale' WHEN checked_at < TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY THEN 'drifting' ELSE 'current' END AS freshness FROM j)
       SELECT component_id, freshness, CASE WHEN freshness = 'stale' THEN {_BUMP('version', 'latest_version')} END AS bump FROM f""",
     "audit_plans": f"""WITH {SQL_EDGES}, l AS (SELECT repo, count(*) AS lot, count(*) FILTER (confidence < 0.5) AS defects FROM edges GROUP BY 1), p AS (SELECT *, {_AQL} AS p FROM l),
       r AS (SELECT *, defects * {_LN(_P1 / _P0)!r}::DOUBLE + (lot - defects) * {_LN((1 - _P1) / (1 - _P0))!r}::DOUBLE AS ratio, {1.96 * 1.96 * 0.05 * 0.95 / 0.0025!r}::DOUBLE AS n0 FROM p)
@@ -245,11 +248,14 @@ SQL = {
       c AS (SELECT day, n, 0.0::DOUBLE AS z FROM s WHERE n = 1 UNION ALL SELECT s.day, s.n, CASE WHEN s.n <= 5 THEN 0.0 ELSE 0.2::DOUBLE * (s.x - w.m) + 0.8::DOUBLE * c.z END FROM c JOIN s ON s.n = c.n + 1, w),
       l AS (SELECT c.*, CASE WHEN n > 5 THEN 2.7::DOUBLE * sqrt(greatest(w.v, 1e-12::DOUBLE)) * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2 * (n - 5)))) ELSE 0.0 END AS lim FROM c, w)
       SELECT 'all' AS stratum, day, n, round(z, 9) AS z, round(lim, 9) AS "limit", n > 5 AND abs(z) > lim AS breach FROM l""",
-    "llm_use_cases": f"""WITH c AS (SELECT call_id, repo, file, provider, name, min(seq) AS seq FROM llm_calls WHERE file IS NOT NULL GROUP BY ALL), p AS (SELECT *, {_purpose('name', 'file')} AS purpose FROM c),
-      m AS (SELECT repo, file, provider, count(*) AS n FROM c GROUP BY ALL),
-      b AS (SELECT repo, file, provider FROM m QUALIFY row_number() OVER (PARTITION BY repo, file ORDER BY coalesce(lower(provider) IN ({_list(s.OBSERVERS)}), true), n DESC, coalesce(provider, '~')) = 1),
-      g AS (SELECT repo, file, count(*) AS call_sites, count(DISTINCT provider) AS providers, arg_min(purpose, seq) FILTER (purpose IS NOT NULL) AS purpose FROM p GROUP BY ALL)
-      SELECT g.repo, g.file, call_sites, providers, b.provider AS main_provider, purpose FROM g JOIN b ON b.repo IS NOT DISTINCT FROM g.repo AND b.file = g.file""",
+    "llm_use_cases": f"""{SQL_GRAPH}, c AS (SELECT e.repo, e.file, e.symbol, e.to_id, n.name AS provider, min(e.seq) AS seq, bool_or(e.connection_type <> 'imports') AS called FROM edges e JOIN nodes n ON n.component_id = e.to_id
+        WHERE n.component_type = 'llm' AND e.file IS NOT NULL AND coalesce(e.classification, '') NOT IN ({_list(s.UNUSED_CLASSES)}) GROUP BY ALL),
+      k AS (SELECT *, CASE WHEN length(symbol) >= 3 AND symbol NOT IN ({_list(s.PLAIN_SYMBOLS)}) AND lower(symbol) NOT IN ({_list(s.PROVIDER_SYMBOLS)}) AND NOT regexp_matches(symbol, '^anonymous_\\d+$|^(\\./|/|\\.\\.)') THEN {_purpose('symbol', 'file')} END AS told
+        FROM c WHERE (repo, file, to_id) IN (SELECT (repo, file, to_id) FROM c WHERE called)),
+      f AS (SELECT repo, file, count(*) AS call_sites, count(DISTINCT to_id) AS providers, arg_min(provider, {{'o': lower(provider) IN ({_list(s.OBSERVERS)}), 'p': provider}}) AS main_provider, arg_min(told, seq) FILTER (told IS NOT NULL) AS by_symbol FROM k GROUP BY ALL),
+      q AS (SELECT repo, file, arg_min(category, seq) AS by_prompt FROM (SELECT repo, unnest(list_append(coalesce(used_by, []), file)) AS file, seq, category FROM prompts WHERE category IS NOT NULL AND category <> 'unknown') GROUP BY ALL)
+      SELECT f.repo, f.file, call_sites, providers, main_provider, coalesce(by_prompt, by_symbol, {_purpose("''", 'f.file')}) AS purpose, CASE WHEN by_prompt IS NOT NULL THEN 'prompt' WHEN by_symbol IS NOT NULL THEN 'function' ELSE 'file' END AS grouped_by
+      FROM f LEFT JOIN q ON q.repo = f.repo AND q.file = f.file""",
     "shared_dependencies": f"""WITH {SQL_NODES}, p AS (SELECT coalesce(stable_id, concat_ws('|', lower(name), component_type)) AS dependency, repo, arg_min(coalesce(version, ''), seq) AS version FROM nodes WHERE layer = 'external' GROUP BY 1, 2)
       SELECT dependency, count(*) AS repos, count(DISTINCT version) AS versions, count(DISTINCT version) > 1 AS version_skew FROM p GROUP BY 1 HAVING count(*) >= 2""",
     "cross_repo_services": f"""{SQL_GRAPH}, m AS (SELECT lower(name) AS service, repo, component_id FROM nodes WHERE component_type = 'service' AND name IS NOT NULL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract as x
+from ..operators import extract as x, services
 from ..operators.graph_views import sql_clean_path, sql_trimmed
 from ..session import table
 
@@ -54,8 +54,12 @@ def queue_roles(spark, d):
 
 
 def service_calls(spark, d):
-    lines = x.lines_of(_files(spark, d), "file_id", "content", "file")
-    return x.service_calls(lines, "file_id", "file", "line", "content")
+    return services.service_calls(_files(spark, d))
+
+
+def snippet_services(spark, d):
+    """The same over the snippets of connections; a snippet seldom holds the import."""
+    return services.service_calls(_code(spark, d).select("seq", "file", F.col("code").alias("content")), "seq")
 
 
 def declared_symbols(spark, d):
@@ -101,7 +105,7 @@ def infrastructure(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        import_statements, imported_packages, resolved_imports, module_names, orm_calls, env_references, connection_addresses, queue_roles, service_calls, declared_symbols, type_conformances,
+        import_statements, imported_packages, resolved_imports, module_names, orm_calls, env_references, connection_addresses, queue_roles, service_calls, snippet_services, declared_symbols, type_conformances,
         view_navigation, field_usage, document_links, document_relations, resolved_relations, schedule_words, infrastructure,
     )
 }
@@ -130,13 +134,22 @@ _CONF = r"^\s*(?:public\s+|final\s+|export\s+|default\s+|abstract\s+)*(?:struct|
 _VIEW = r"(?:destination:|sheet\s*\{|fullScreenCover\s*\{|present\()\s*([A-Z][A-Za-z0-9_]*)\("
 
 
-def _service(name: str, pattern: str, proof: str) -> str:
-    before = f"regexp_extract(text, {_q('^(.*?)(?:' + pattern + ')')}, 1)"
-    parity = f"((length({before}) - length(replace({before}, '''', ''))) % 2 + (length({before}) - length(replace({before}, '\"', ''))) % 2)"
-    by_file = r"CASE WHEN regexp_matches(coalesce(file, ''), '\.(md|mdx|txt|rst|adoc)$') THEN -0.4::DOUBLE WHEN regexp_matches(coalesce(file, ''), '\.(d\.ts|map|min\.js)$|/(dist|build|generated)/') THEN -0.3::DOUBLE WHEN regexp_matches(coalesce(file, ''), '\.(json|ya?ml|toml|ini)$') THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END"
-    conf = f"0.9::DOUBLE - CASE WHEN {parity} > 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + {by_file} - CASE WHEN regexp_matches(text, {_q(proof)}) THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END"
-    dead = f"starts_with(ltrim(text), '//') OR starts_with(ltrim(text), '#') OR starts_with(ltrim(text), '*') OR contains({before}, '//') OR regexp_matches(text, {_q(x.EXAMPLES)})"
-    return f"SELECT file_id, line, '{name}' AS service, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {conf})), 2) AS confidence FROM lines WHERE regexp_matches(text, {_q(pattern)}) AND NOT ({dead})"
+def _service(key: str, name: str, kind: str, patterns, proof) -> str:
+    """One service over the lines with a hit of any; m is the file's modifier, content the file's whole text."""
+    mine = services.either(patterns)
+    before = f"regexp_extract(text, {_q('^(.*?)(?:' + mine + ')')}, 1)"
+    imported = f"regexp_matches(content, {_q(services.either(proof))})" if proof else "false"
+    conf = f"0.9::DOUBLE - CASE WHEN regexp_matches(regexp_replace({before}, {_q(services.CLOSED_STRINGS)}, '', 'g'), {_q(chr(91) + chr(34) + chr(39) + chr(93))}) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + m - CASE WHEN {imported} THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END"
+    return f"SELECT {key}, line, '{name}' AS service, '{kind}' AS component_type, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {conf})), 2) AS confidence FROM called WHERE regexp_matches(text, {_q(mine)}) AND NOT contains({before}, '//')"
+
+
+def _services_sql(given: str, key: str) -> str:
+    every = _q(services.either(p for _, _, patterns, _ in services.SERVICES for p in patterns))
+    by_file = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(file, ''), {_q(p)}) THEN {v}::DOUBLE" for p, v in services.FILE_MODIFIERS) + " ELSE 0.0::DOUBLE END"
+    return f"""{given}, split AS (SELECT {key}, content, {by_file} AS m, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM files
+        WHERE regexp_matches(content, {every}) AND regexp_matches(coalesce(file, ''), {_q(services.SCANNED_FILES)}) AND NOT regexp_matches(coalesce(file, ''), {_q(services.EXCLUDED_FILES)})),
+      called AS (SELECT * FROM split WHERE regexp_matches(text, {every}) AND NOT (starts_with(ltrim(text), '//') OR starts_with(ltrim(text), '#') OR starts_with(ltrim(text), '*') OR regexp_matches(text, {_q(services.either(services.EXAMPLES))}))),
+      hits AS ({" UNION ALL ".join(_service(key, *s) for s in services.SERVICES)}) SELECT * FROM hits WHERE confidence >= {services.MIN_CONFIDENCE}"""
 
 
 _WIKI = lambda v: "regexp_replace(regexp_replace(" + sql_trimmed(f"regexp_extract({v}, '^([^|#]*)', 1)") + ", '^\\./', ''), '(?i)\\.md$', '')"
@@ -169,7 +182,8 @@ SQL = {
         CASE {' '.join(f"WHEN protocol IN ({_IN(v)}) THEN '{k}'" for k, v in x.RESOURCES.items())} END AS resource FROM a""",
     "queue_roles": f"""SELECT seq, 'producer' AS role, regexp_extract(code, {_q(_PRODUCE)}, 1) AS queue, regexp_extract(code, {_q(_PRODUCE)}, 2) AS job, CAST(NULL AS INTEGER) AS concurrency FROM connections WHERE regexp_matches(code, {_q(_PRODUCE)})
       UNION ALL SELECT seq, 'consumer', regexp_extract(code, {_q(_CONSUME)}, 1), regexp_extract(code, {_q(_CONSUME)}, 2), CAST(nullif(regexp_extract(code, 'concurrency:\\s*([0-9]+)', 1), '') AS INTEGER) FROM connections WHERE regexp_matches(code, {_q(_CONSUME)})""",
-    "service_calls": _LINES + ", hits AS (" + " UNION ALL ".join(_service(*s) for s in x.SERVICES) + ") SELECT * FROM hits WHERE confidence >= 0.5",
+    "service_calls": _services_sql(_FILES, "file_id"),
+    "snippet_services": _services_sql("WITH files AS (SELECT seq, file, code AS content FROM connections)", "seq"),
     "declared_symbols": _LINES + ", d AS (SELECT file_id, line, CASE " + " ".join(f"WHEN code_lang = '{lang}' THEN {_first('text', p)}" for lang, p in x.DECLARATIONS.items()) + " END AS d FROM lines) SELECT file_id, line, d.kind AS kind, d.value AS name FROM d WHERE d IS NOT NULL",
     "type_conformances": _LINES + f", c AS (SELECT file_id, regexp_extract(text, {_q(_CONF)}, 1) AS name, unnest(regexp_split_to_array(regexp_extract(text, {_q(_CONF)}, 2), '\\s*,\\s*')) AS base FROM lines WHERE regexp_matches(text, {_q(_CONF)})) SELECT DISTINCT file_id, name, trim(base) AS base FROM c WHERE trim(base) <> ''",
     "view_navigation": f"SELECT seq, unnest(list_distinct(regexp_extract_all(code, {_q(_VIEW)}, 1))) AS view FROM connections WHERE code IS NOT NULL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph_views import ends
+from ..operators.skew import numbered
 
 COMPONENT_SCHEMA = (
     "component_id string, stable_id string, name string, type string, version string, status string, tags array<string>, "
@@ -52,25 +53,27 @@ def compact_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.select(F.col("connection_id").alias("id"), F.coalesce("from_name", F.lit("?")).alias("f"), F.coalesce("to_name", F.lit("?")).alias("t"), F.col("connection_type").alias("ct"), F.col("file").alias("fl"), F.col("line").alias("ln"))
 
 
-def markdown_views(nodes: DataFrame, edges: DataFrame, neighbours: int = 50) -> DataFrame:
-    """A Markdown page per component with a header and its neighbours: component_id, page.
+def markdown_views(nodes: DataFrame, edges: DataFrame, neighbours: int = 1000) -> DataFrame:
+    """Markdown pages of each component with a header and its neighbours: component_id, page_no, page.
 
-    A page lists at most ``neighbours`` per direction (smallest names) and says how many there are; the lists are cut
-    before they are gathered, so that a hub's page stays a page.
+    A page lists ``neighbours`` per direction in order of names; a component with more goes on over pages 2, 3 and so
+    on, so that nothing is left out and no list grows beyond a page. Each list's head says how many there are in all.
     """
-    from pyspark.sql import Window
 
     named = ends(edges, nodes)
     pairs = named.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit("out").alias("way"), F.coalesce("to_name", "to_id").alias("other")), F.struct(F.col("to_id").alias("id"), F.lit("in").alias("way"), F.coalesce("from_name", "from_id").alias("other")))).alias("p")).select("p.*")
     counted = pairs.groupBy("id", "way", "other").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("id", "way").orderBy("other")
-    total = F.count(F.lit(1)).over(Window.partitionBy("id", "way"))
-    kept = counted.withColumn("r", F.row_number().over(w)).withColumn("all", total).where(F.col("r") <= neighbours)
-    lines = kept.groupBy("id", "way").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.coalesce("other", F.lit("?"))))), "\n").alias("list"), F.max("all").alias("all"))
-    part = lambda way, title: lines.where(F.col("way") == way).select(F.col("id").alias(f"{way}_id"), F.concat(F.lit(f"## {title} ("), F.col("all").cast("string"), F.lit(")\n"), F.col("list")).alias(way))
-    j = nodes.join(part("out", "Connects to"), F.col("component_id") == F.col("out_id"), "left").join(part("in", "Connected from"), F.col("component_id") == F.col("in_id"), "left")
+    known = counted.where("id is not null").select("id", "way", "other")
+    placed = numbered(known, ["id", "way"], ["other"])
+    kept = placed.withColumn("page_no", (F.floor((F.col("position") - 1) / neighbours) + 1).cast("int"))
+    totals = known.groupBy("id", "way").agg(F.count(F.lit(1)).alias("all"))
+    lines = kept.groupBy("id", "way", "page_no").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.coalesce("other", F.lit("?"))))), "\n").alias("list")).join(totals, ["id", "way"])
+    title = F.when(F.col("way") == "out", "Connects to").otherwise("Connected from")
+    body = F.concat(F.lit("## "), title, F.lit(" ("), F.col("all").cast("string"), F.lit(")\n"), F.col("list"))
+    pages = lines.groupBy("id", "page_no").agg(F.max(F.when(F.col("way") == "out", body)).alias("out"), F.max(F.when(F.col("way") == "in", body)).alias("in"))
+    j = nodes.join(pages, F.col("component_id") == F.col("id"), "left").withColumn("page_no", F.coalesce("page_no", F.lit(1)))
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), "component_id"), F.concat(F.lit("type: "), "component_type"), F.concat(F.lit("layer: "), "layer"), F.concat(F.lit("status: "), "status"), F.lit("---"))
-    return j.select("component_id", F.concat_ws("\n\n", head, F.concat(F.lit("# "), "name"), "purpose", "out", "in").alias("page"))
+    return j.select("component_id", "page_no", F.concat_ws("\n\n", head, F.concat(F.lit("# "), "name"), "purpose", "out", "in").alias("page"))
 
 
 def envelope(df: DataFrame, command: str) -> DataFrame:

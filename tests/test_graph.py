@@ -6,7 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import audit, catalog, estate, extract, history, merge, rules, traverse
+from graphloom.operators import audit, catalog, estate, extract, history, merge, rules, services, traverse
 from graphloom.functions.ids import edge_id, fnv1a_base36, stable_id
 from graphloom.sources import discover, jsonl
 
@@ -269,7 +269,7 @@ def test_versions_freshness_and_modes(spark):
     pairs = spark.createDataFrame([("1.2.3", "2.0.0"), ("v1.2.3", "1.3.0"), ("1.2.3", "1.2.9"), ("x", "1.0.0"), (None, "1.0.0")], "a string, b string")
     assert [r[0] for r in pairs.select(history.bump_class(F.col("a"), F.col("b"))).collect()] == ["major", "minor", "patch", "minor", "minor"]
     n = nodes(spark, ("a", "npm", None, None, {"version": "1.0.0"}), ("b", "npm", None, None, {"version": "2.0.0"}), ("c", "npm", None, None, {"version": "1.0.0"}), ("d", "npm", None, None), ("e", "database", None, None))
-    latest = spark.createDataFrame([("a", "npm", "1.0.0", T), ("b", "npm", "3.0.0", T), ("d", "npm", "1.0.0", T - dt.timedelta(days=30))], "name string, component_type string, latest_version string, checked_at timestamp")
+    latest = spark.createDataFrame([("a", "npm", "1.0.0", T), ("b", "npm", "10.0.0", T), ("d", "npm", "1.0.0", T - dt.timedelta(days=30))], "name string, component_type string, latest_version string, checked_at timestamp")
     got = {r["component_id"]: (r["freshness"], r["bump"]) for r in history.freshness(n, latest, "2025-01-03", 7).collect()}
     assert got == {"a": ("current", None), "b": ("stale", "major"), "c": ("unresolved", None), "d": ("drifting", None)}
     base = {"flag": None, "has_index": True, "schema_version": "1.1.0", "drift_breach": False, "added": 0, "changed": ["src/a.ts"], "full_scan_age_hours": 1, "incrementals": 0}
@@ -300,14 +300,29 @@ def test_audit_numbers(spark):
 
 
 def test_use_cases_and_prompts(spark):
-    calls = spark.createDataFrame([(1, "c1", "r", "src/ai/rank.ts", "openai", "rerankHits"), (2, "c1", "r", "src/ai/rank.ts", "openai", "rerankHits"), (3, "c2", "r", "src/ai/rank.ts", "langsmith", "log"), (4, "c3", "r", "src/ai/rank.ts", "langsmith", "log"), (5, "c4", "r", "src/queue/x.ts", None, "go")], "seq long, call_id string, repo string, file string, provider string, name string")
-    got = {r["file"]: (r["call_sites"], r["providers"], r["main_provider"], r["purpose"]) for r in estate.use_cases(calls).collect()}
-    assert got == {"src/ai/rank.ts": (3, 2, "openai", "reranking"), "src/queue/x.ts": (1, 0, None, "queue-processing")}
+    n = nodes(spark, ("m1", "llm", "external", None, {"name": "OpenAI"}), ("m2", "llm", "external", None, {"name": "LangSmith"}), ("x", "service", "external", None))
+    rows = [("m1", "src/ai/rank.ts", "rerankHits", "service-call", None), ("m1", "src/ai/rank.ts", "rerankHits", "service-call", "production"), ("m2", "src/ai/rank.ts", "traceable", "service-call", None), ("m1", "src/queue/x.ts", "run", "service-call", None), ("m1", "src/t.ts", "summarize", "service-call", "test"), ("m1", "src/i.ts", "summarize", "imports", None), ("m1", "src/ai/rank.ts", "openai", "imports", None), ("m1", "src/lib/mine.ts", "create", "service-call", None), ("x", "src/z.ts", "chat", "service-call", None)]
+    e = spark.createDataFrame([(i, "r", f, s, t, k, c) for i, (t, f, s, k, c) in enumerate(rows)], "seq long, repo string, file string, symbol string, to_id string, connection_type string, classification string")
+    prompts = spark.createDataFrame([(1, "r", "src/p.md", ["src/lib/mine.ts", None], "translation"), (2, "r", None, ["src/lib/mine.ts"], "chat"), (3, "r", "src/queue/x.ts", None, "unknown")], "seq long, repo string, file string, used_by array<string>, category string")
+    got = {r["file"]: (r["call_sites"], r["providers"], r["main_provider"], r["purpose"], r["grouped_by"]) for r in estate.use_cases(n, e, prompts).collect()}
+    assert got == {"src/ai/rank.ts": (3, 2, "OpenAI", "reranking", "function"), "src/queue/x.ts": (1, 1, "OpenAI", "queue-processing", "file"), "src/lib/mine.ts": (1, 1, "OpenAI", "translation", "prompt")}
     texts = spark.createDataFrame([(1, "Summarize {{ doc }} and ${doc} in {lang}"), (2, None), (3, "Write code"), (4, "hi")], "seq long, content string")
     assert ids(estate.template_variables(texts, "seq", "content"), "seq", "variable") == [(1, "doc"), (1, "lang")]
     assert [r[0] for r in texts.orderBy("seq").select(estate.prompt_category(F.col("content"))).collect()] == ["summarization", "unknown", "code-generation", "unknown"]
 
 
+def test_service_calls(spark):
+    """Confidence by place, file and imports of the whole file; comments, examples and test files give nothing."""
+    proof = "import OpenAI from 'openai'\n"
+    files = [
+        ("src/a.ts", proof + "const c = new OpenAI()\nawait openai.chat.completions.create({})"), ("src/b.ts", "// new Stripe(key)\nconst s = new Stripe(key)\nlog('x') // new Stripe(k)\nexample: 'new Stripe('"), ("src/c.ts", "say('use new Stripe(key)')"),
+        ("src/__tests__/d.ts", "new Stripe(k)"), ("lib/dist/e.js", "import s from 'stripe'\nnew Stripe(k)"), ("docs/f.md", "new Stripe(k)"), ("src/g.py", None), ("src/h.ts", ""), ("src/i.ts", "const w = new Worker(x, y); new Queue(z)\nimport { Queue } from 'bullmq'"),
+    ]
+    df = spark.createDataFrame([(i, f, t, "clash") for i, (f, t) in enumerate(files)], "file_id long, file string, content string, service string")
+    got = {(r["file_id"], r["line"], r["service"], r["confidence"]) for r in services.service_calls(df).collect()}
+    assert got == {(0, 1, "OpenAI", 0.9), (0, 2, "OpenAI", 0.9), (0, 3, "OpenAI", 0.9), (1, 2, "Stripe", 0.7), (4, 2, "Stripe", 0.6), (8, 1, "BullMQ", 0.9), (8, 2, "BullMQ", 0.9)}
+
+
 def test_extraction(spark):
     files = spark.createDataFrame([("r", "src/a/x.ts", 1, "typescript", "import { q } from './y';\nimport z from '../b/z.js'\nexport * from '@/c'\nimport React from 'react/jsx'\nconst p = require('pg')\n"), ("r", "src/a/y.ts", 2, "typescript", None), ("r", "src/b/z.ts", 3, "typescript", ""), ("r", "src/c/index.ts", 4, "typescript", "")], "repo string, file string, file_id long, code_lang string, content string")
     found = extract.imports(files)
@@ -370,6 +385,8 @@ def test_sources(spark, tmp_path):
     e = edges(spark, ("b", "a", "uses-package"), ("b", "zz"))
     pages = {r["component_id"]: r["page"] for r in jsonl.markdown_views(n, e).collect()}
     assert "## Connected from (1)\n- b" in pages["a"] and "## Connects to (2)\n- a\n- zz" in pages["b"] and pages["a"].startswith("---\nid: a")
+    paged = {(r["component_id"], r["page_no"]): r["page"] for r in jsonl.markdown_views(n, e, 1).collect()}
+    assert set(paged) == {("a", 1), ("b", 1), ("b", 2)} and paged["b", 1].endswith("## Connects to (2)\n- a") and paged["b", 2].endswith("## Connects to (2)\n- zz")
     jsonl.write_lines(jsonl.compact_lines(n, e), str(tmp_path / "out"))
     assert sorted((r["f"], r["t"]) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("b", "?"), ("b", "a")]
     assert '"command":"x"' in jsonl.envelope(n.select("name"), "x").first()["json"]

@@ -80,6 +80,27 @@ def test_upsert_stream_keeps_the_last_row(spark, tmp_path):
     assert {r["id"]: r["v"] for r in table.read(spark.createDataFrame([], schema).schema).collect()} == {"a": 3, "b": 1, "c": 1}
 
 
+def test_streams_with_equal_epochs_are_all_applied(spark, tmp_path):
+    """A second stream with a checkpoint of its own begins at epoch 0 again; a replayed epoch changes nothing."""
+    schema = "id string, v long, seq long"
+    table = upkeep.Table(spark, str(tmp_path / "table"))
+    for i, rows in enumerate([[("a", 1, 1)], [("b", 2, 1)], [("c", 3, 1)]]):
+        inbox = tmp_path / f"in{i}"
+        inbox.mkdir()
+        _write(inbox / "1.json", [dict(zip(("id", "v", "seq"), r)) for r in rows])
+        upkeep.upsert_stream(spark.readStream.schema(schema).json(str(inbox)), table, "id", str(tmp_path / f"cp{i}")).awaitTermination()
+    now = lambda: {r["id"]: r["v"] for r in table.read(spark.createDataFrame([], schema).schema).collect()}
+    assert now() == {"a": 1, "b": 2, "c": 3} and len(table.state()["applied"]) == 3
+    table.upsert(spark.createDataFrame([("a", 9, 9)], schema), "id", "s", 0)
+    table.upsert(spark.createDataFrame([("a", 7, 9)], schema), "id", "s", 0)
+    assert now() == {"a": 9, "b": 2, "c": 3}
+    for epoch in range(1, 5):
+        table.upsert(spark.createDataFrame([("a", epoch, 9)], schema), "id", "s", epoch)
+    assert now()["a"] == 4
+    versions = [x for x in (tmp_path / "table").iterdir() if x.name.startswith("v-") and list(x.glob("__bucket=*"))]
+    assert len(versions) <= 5
+
+
 def test_windows_with_watermark(spark, tmp_path):
     (tmp_path / "in").mkdir()
     _write(tmp_path / "in" / "1.json", [{"ts": f"2025-01-01T0{h}:10:00Z", "event_type": "view"} for h in (0, 0, 1)])
