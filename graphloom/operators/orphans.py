@@ -63,8 +63,9 @@ def orphan_references(connections: DataFrame, components: DataFrame, source_file
     row's arrived_at. Of several removal times the latest holds, and a row without one means not removed. Null and
     empty references are none. A null detected_at or arrived_at decides nothing (not deleted, not late).
 
-    The distinct keys are reduced first (map-side combine), the anti-joins run over distinct keys, and only keys
-    that can give an orphan are carried back to the rows by ``join_lookup``.
+    The distinct keys are reduced first (map-side combine) and written once, the anti-joins run over them, and only keys
+    that can give an orphan are carried back to the rows by ``join_lookup``: the rows are read twice (a third and fourth
+    time to find hot keys if those keys are too many to broadcast).
     """
     refs = references(connections)
     is_file = F.startswith(F.col("value"), F.lit(FILE_PREFIX))
@@ -73,7 +74,7 @@ def orphan_references(connections: DataFrame, components: DataFrame, source_file
     # A null-safe text of the scope, so that rows with a null repo can be joined back by equality.
     scope = F.when(F.col("is_file"), F.when(F.col("scope").isNull(), F.lit("n")).otherwise(F.concat(F.lit("r"), "scope"))).otherwise(F.lit("c"))
     keyed = keyed.withColumn("scope_key", scope)
-    keys = keyed.groupBy("scope_key", "value").agg(F.max("detected_at").alias("last_detected"), F.min("arrived_at").alias("first_arrived"))
+    keys = cut(keyed.groupBy("scope_key", "value").agg(F.max("detected_at").alias("last_detected"), F.min("arrived_at").alias("first_arrived")))
     file_keys = keys.where("scope_key <> 'c'").select(
         "scope_key",
         "value",
