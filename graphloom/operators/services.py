@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Services with the type of their component, how code calls them, and what imports corroborate it.
 SERVICES = (
@@ -43,22 +45,41 @@ def either(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def literals_of(pattern: str) -> set[str]:
+    """Texts of which every match of a pattern of this module holds one, to be looked for before the pattern is tried: its
+    longest run without a class, the last of equal ones, in either kind of quotes."""
+    out = set()
+    for quote in "'\"":
+        kept = re.sub(r"\\([^sSwWdDb])", lambda m: f"\1{ord(m[1]):x}\2", pattern.replace(r"['\"]", quote))
+        plain = re.sub(r"\[[^\]]*\][*+?]?|\\[sSwWdDb][*+?]?|\.[*+?]|\(\?:|[\^$*+?]", "\0", kept)
+        parts = [re.sub("\1([0-9a-f]+)\2", lambda m: chr(int(m[1], 16)), x) for x in plain.split("\0")]
+        out.add(max(enumerate(parts), key=lambda x: (len(x[1]), x[0]))[1])
+    return out
+
+
 def service_calls(files: DataFrame, key: str = "file_id") -> DataFrame:
     """Calls of services in source files: key, line, service, component_type, confidence (0.5 and more).
 
     Starts at 0.9. A line whose first match stands in a comment or that shows an example has none; 0.3 less inside a
     string; less by the kind of file; 0.2 less if nowhere in the whole file the service is imported (or no import of
-    it is known). Test, mock and fixture files are not looked at. ``files``: key, file, content; a file is tested as a
-    whole first, so that only lines of files with a hit are taken apart.
+    it is known). Test, mock and fixture files are not looked at. ``files``: key, file, content; a file is looked
+    through for the patterns' plain texts first, so that only lines of files that hold one are taken apart.
     """
     path = F.coalesce(F.col("file"), F.lit(""))
     modifier = F.lit(0.0)
     for pattern, value in reversed(FILE_MODIFIERS):
         modifier = F.when(path.rlike(pattern), value).otherwise(modifier)
-    every = either(p for _, _, patterns, _ in SERVICES for p in patterns)
-    found = files.where(F.col("content").rlike(every) & path.rlike(SCANNED_FILES) & ~path.rlike(EXCLUDED_FILES))
+    texts = sorted({t for _, _, patterns, _ in SERVICES for p in patterns for t in literals_of(p)})
+
+    def may(column: str) -> Column:
+        out = F.lit(False)
+        for t in texts:
+            out |= F.contains(column, F.lit(t))
+        return out
+
+    found = files.where(may("content") & path.rlike(SCANNED_FILES) & ~path.rlike(EXCLUDED_FILES))
     proofs = F.array(*[F.col("content").rlike(either(proof)) if proof else F.lit(False) for _, _, _, proof in SERVICES])
-    lines = found.select(key, modifier.alias("m"), proofs.alias("proofs"), F.posexplode(F.split("content", "\n")).alias("line", "text")).where(F.col("text").rlike(every))
+    lines = found.select(key, modifier.alias("m"), proofs.alias("proofs"), F.posexplode(F.split("content", "\n")).alias("line", "text")).where(may("text"))
     bare = F.ltrim("text")
     note = F.startswith(bare, F.lit("//")) | F.startswith(bare, F.lit("#")) | F.startswith(bare, F.lit("*")) | F.col("text").rlike(either(EXAMPLES))
     hits = []

@@ -323,6 +323,11 @@ def test_service_calls(spark):
     assert got == {(0, 1, "OpenAI", 0.9), (0, 2, "OpenAI", 0.9), (0, 3, "OpenAI", 0.9), (1, 2, "Stripe", 0.7), (4, 2, "Stripe", 0.6), (8, 1, "BullMQ", 0.9), (8, 2, "BullMQ", 0.9)}
 
 
+def test_plain_texts_of_service_patterns():
+    assert services.literals_of(r"from\s+['\"]ai['\"]") == {"'ai'", '"ai"'} and services.literals_of(r"\bnew\s+Ollama\(") == {"Ollama("} and services.literals_of(r"127\.0\.0\.1:11434") == {"127.0.0.1:11434"}
+    assert all(min(map(len, services.literals_of(p))) >= 4 for _, _, patterns, _ in services.SERVICES for p in patterns)
+
+
 def test_extraction(spark):
     files = spark.createDataFrame([("r", "src/a/x.ts", 1, "typescript", "import { q } from './y';\nimport z from '../b/z.js'\nexport * from '@/c'\nimport React from 'react/jsx'\nconst p = require('pg')\n"), ("r", "src/a/y.ts", 2, "typescript", None), ("r", "src/b/z.ts", 3, "typescript", ""), ("r", "src/c/index.ts", 4, "typescript", "")], "repo string, file string, file_id long, code_lang string, content string")
     found = extract.imports(files)
