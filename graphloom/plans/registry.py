@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("record_problems", "catalog_queries", "graph_queries", "estate_queries", "extract_queries", "merge_queries", "deepmap_queries")
+MODULES = ("record_problems", "catalog_queries", "graph_queries", "estate_queries", "extract_queries", "merge_queries", "deepmap_queries", "report_queries")
 
 
 def gather(modules: tuple[str, ...] = MODULES) -> tuple[dict[str, Query], dict[str, str]]:
