@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract as x, services
+from ..operators import extract as x, model_calls, services
 from ..operators.graph_views import sql_clean_path, sql_trimmed
 from ..session import table
 
@@ -37,6 +37,15 @@ def module_names(spark, d):
     return _files(spark, d).select("file_id", x.module_name(F.col("file")).alias("module"), x.module_layer(F.col("file")).alias("layer"))
 
 
+def model_call_sites(spark, d):
+    return model_calls.call_sites(_code(spark, d), "seq", "code")
+
+
+def traced_model_calls(spark, d):
+    """No SQL: imports, clients and arguments of whole files; tested on small files."""
+    return model_calls.traced_calls(_files(spark, d))
+
+
 def orm_calls(spark, d):
     return x.orm_calls(_code(spark, d), "seq", "code")
 
@@ -105,7 +114,7 @@ def infrastructure(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        import_statements, imported_packages, resolved_imports, module_names, orm_calls, env_references, connection_addresses, queue_roles, service_calls, snippet_services, declared_symbols, type_conformances,
+        import_statements, imported_packages, resolved_imports, module_names, orm_calls, env_references, connection_addresses, queue_roles, service_calls, snippet_services, model_call_sites, traced_model_calls, declared_symbols, type_conformances,
         view_navigation, field_usage, document_links, document_relations, resolved_relations, schedule_words, infrastructure,
     )
 }
@@ -182,6 +191,8 @@ SQL = {
         CASE {' '.join(f"WHEN protocol IN ({_IN(v)}) THEN '{k}'" for k, v in x.RESOURCES.items())} END AS resource FROM a""",
     "queue_roles": f"""SELECT seq, 'producer' AS role, regexp_extract(code, {_q(_PRODUCE)}, 1) AS queue, regexp_extract(code, {_q(_PRODUCE)}, 2) AS job, CAST(NULL AS INTEGER) AS concurrency FROM connections WHERE regexp_matches(code, {_q(_PRODUCE)})
       UNION ALL SELECT seq, 'consumer', regexp_extract(code, {_q(_CONSUME)}, 1), regexp_extract(code, {_q(_CONSUME)}, 2), CAST(nullif(regexp_extract(code, 'concurrency:\\s*([0-9]+)', 1), '') AS INTEGER) FROM connections WHERE regexp_matches(code, {_q(_CONSUME)})""",
+    "model_call_sites": f"""WITH l AS (SELECT seq, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS line, unnest(string_split(code, chr(10))) AS text FROM connections WHERE code IS NOT NULL), s AS (SELECT seq, line, CASE {" ".join(f"WHEN regexp_matches(text, {_q(services.either(p))}) THEN '{n}:{v}'" for n, v, p in model_calls.CALL_SITES)} END AS s FROM l)
+      SELECT seq, line, split_part(s, ':', 1) AS name, split_part(s, ':', 2) AS provider FROM s WHERE s IS NOT NULL""",
     "service_calls": _services_sql(_FILES, "file_id"),
     "snippet_services": _services_sql("WITH files AS (SELECT seq, file, code AS content FROM connections)", "seq"),
     "declared_symbols": _LINES + ", d AS (SELECT file_id, line, CASE " + " ".join(f"WHEN code_lang = '{lang}' THEN {_first('text', p)}" for lang, p in x.DECLARATIONS.items()) + " END AS d FROM lines) SELECT file_id, line, d.kind AS kind, d.value AS name FROM d WHERE d IS NOT NULL",

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import manifests, reports, skew, traverse
+from graphloom.operators import manifests, model_calls, reports, skew, traverse
 from tests.test_graph import T, edges, ids, nodes
 
 
@@ -83,3 +83,25 @@ def test_cargo_and_schema(spark):
         ("id", "Int", False, False, True, False, None), ("email", "String", False, True, False, True, None), ("posts", "Post", True, False, False, False, "Post"), ("org", "Org", False, False, False, False, "Org"), ("orgId", "Int", False, False, False, False, None),
     }
     assert {(r["model"], r["table_name"]) for r in rows} == {("User", "users")}
+
+
+def test_traced_model_calls(spark):
+    """Clients, default imports, functions and imports that stand in for clients; what is called on something else is none."""
+    files = [
+        ("src/a.ts", "import OpenAI from 'openai'\nconst ai: OpenAI = new OpenAI({})\nconst r = await ai.chat.completions.create({\n  model: 'gpt-4o',\n  messages: [{ role: 'user', content: 'Hi' }],\n  temperature: 0.2,\n})\nother.chat.completions.create({})\nai.embeddings.create({ model: 'e' })"),
+        ("src/b.ts", "import ollama from 'ollama'\nollama.chat({ model: 'llama3' })\nsocket.chat('x')"),
+        ("src/c.ts", "import { generateText } from 'ai'\nawait generateText({ model: openai('gpt-4o'), prompt: `x`, maxTokens: 9 })\nx.generateText(1)"),
+        ("src/d.ts", "const { BedrockRuntimeClient } = require('@aws-sdk/client-bedrock-runtime')\nthis.rt = new BedrockRuntimeClient({})\nthis.rt.send( new ConverseCommand({ modelId }))"),
+        ("src/e.py", "client = Anthropic()\nclient.messages.create(model='c')"), ("src/f.ts", "import { ChatOpenAI } from '@langchain/openai'\nchain.invoke({ input })"), ("src/g.ts", "const c = new Anthropic()\nc.beta.messages.create({ max_tokens: 5 })"),
+        ("src/__tests__/h.ts", "const c = new Anthropic()\nc.messages.create({})"), ("src/i.ts", None), ("src/j.ts", ""), ("src/k.ts", "generateText({})"),
+    ]
+    df = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(files)], "file_id long, file string, content string")
+    got = {tuple(r) for r in model_calls.traced_calls(df).collect()}
+    assert got == {
+        (0, 3, "openai", "chat.completions.create", "chat", "ai", "gpt-4o", 0.2, None, 1.0), (0, 9, "openai", "embeddings.create", "embedding", "ai", "e", None, None, 0.85), (1, 2, "ollama", "chat", "chat", "ollama", "llama3", None, None, 0.85),
+        (2, 2, "vercel-ai-sdk", "generateText", "completion", None, "gpt-4o", None, 9, 1.0), (3, 3, "bedrock", "send(new ConverseCommand", "chat", "rt", None, None, None, 0.75), (5, 2, "langchain", "invoke", "chat", "chain", None, None, None, 0.75),
+        (6, 2, "anthropic", "beta.messages.create", "chat", "c", None, None, 5, 0.65),
+    }
+    assert model_calls.traced_calls(df.limit(0)).count() == 0
+    sites = model_calls.call_sites(df, "file_id", "content")
+    assert {tuple(r) for r in sites.collect()} == {(4, 2, "anthropic-messages", "anthropic")}
