@@ -22,6 +22,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -87,6 +88,15 @@ def drop_cut(df: DataFrame) -> None:
     _written.remove((spark, df.cut_path))
 
 
+def free_cuts() -> int:
+    """Removes the files of all ``cut`` tables and gives their number: for a long session, once the results that read
+    them have been written. Without it they stay until the process ends."""
+    n = len(_written)
+    while _written:
+        _remove(*_written.pop())
+    return n
+
+
 def cut_in_place(df: DataFrame) -> DataFrame:
     """A reliable checkpoint that keeps the partitions and their order."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -110,8 +120,11 @@ def _remove_written() -> None:
             return
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, of: DataFrame | None = None) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, by ``keys`` (unique ones): for costly work per row on
-    input that lies in few row groups. Rows stay as they are where there are enough partitions."""
+    input that lies in few row groups. Rows stay as they are where there are enough partitions.
+
+    ``of`` is the scan whose partitions are counted; name it where ``df`` is more than a scan, as counting the partitions
+    of a join would run the stages before it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if (df if of is None else of).rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -105,3 +105,17 @@ def test_traced_model_calls(spark):
     assert model_calls.traced_calls(df.limit(0)).count() == 0
     sites = model_calls.call_sites(df, "file_id", "content")
     assert {tuple(r) for r in sites.collect()} == {(4, 2, "anthropic-messages", "anthropic")}
+
+
+def test_cuts_are_freed(spark, monkeypatch):
+    from pathlib import Path
+
+    from graphloom import session
+
+    monkeypatch.setattr(session, "_written", [])
+    one, two = session.cut(spark.range(3).toDF("id")), session.cut(spark.range(2).toDF("id"))
+    assert one.count() + two.count() == 5
+    session.drop_cut(one)
+    paths = [Path(x.cut_path.removeprefix("file:")) for x in (one, two)]
+    assert not paths[0].exists() and paths[1].exists()
+    assert session.free_cuts() == 1 and not paths[1].exists() and session.free_cuts() == 0
