@@ -6,7 +6,9 @@ import json
 import os
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import regex
 
 #: Folder of the public vocabularies; another one can be named in every call or in this variable.
@@ -19,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words whose ids are kept, and the longest word (in bytes) that is kept: both bound memory, not results.
 CACHE_WORDS, CACHE_WORD_BYTES = 1 << 17, 64
 
-_PAIR = 1 << 20
+_PAIR, _PLACES = 1 << 20, 1 << 40
 
 
 def byte_alphabet() -> list[str]:
@@ -37,10 +39,16 @@ class Encoder:
         back = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocabulary.items() if all(c in back for c in s)}
         self._byte_ids = [vocabulary[c] for c in alphabet]
-        self._merge: dict[int, tuple[int, int]] = {}
+        # rank of each pair, and the symbols that a rank joins
+        self._rank: dict[int, int] = {}
+        self._joins: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(merges):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self._merge.setdefault(vocabulary[left] * _PAIR + vocabulary[right], (rank, vocabulary[left + right]))
+            self._joins.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+            self._rank.setdefault(vocabulary[left] * _PAIR + vocabulary[right], rank)
+        self._sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self._sizes[i] = len(b)
         self._cache: dict[str, tuple[int, ...]] = {}
         self.words = regex.compile(PATTERN).findall
         self.finditer = regex.compile(PATTERN).finditer
@@ -57,16 +65,14 @@ class Encoder:
         n = len(ids)
         if n < 2:
             return ids
-        merge = self._merge
+        rank, joins = self._rank.get, self._joins
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            m = merge.get(ids[i] * _PAIR + ids[i + 1])
-            if m:
-                queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
+        # an entry holds a pair's rank and the place of its left symbol in one number: leftmost first on equal ranks
+        queue = [r * _PLACES + i for i in range(n - 1) if (r := rank(ids[i] * _PAIR + ids[i + 1])) is not None]
         heapify(queue)
         while queue:
-            _, i, left, right, new = heappop(queue)
+            r, i = divmod(heappop(queue), _PLACES)
+            left, right, new = joins[r]
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue  # stale: one of the two symbols has been merged since
@@ -74,14 +80,11 @@ class Encoder:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = merge.get(new * _PAIR + ids[k])
-                if m:
-                    heappush(queue, (m[0], i, new, ids[k], m[1]))
+                if (r := rank(new * _PAIR + ids[k])) is not None:
+                    heappush(queue, r * _PLACES + i)
             h = before[i]
-            if h >= 0:
-                m = merge.get(ids[h] * _PAIR + new)
-                if m:
-                    heappush(queue, (m[0], h, ids[h], new, m[1]))
+            if h >= 0 and (r := rank(ids[h] * _PAIR + new)) is not None:
+                heappush(queue, r * _PLACES + h)
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -100,32 +103,29 @@ class Encoder:
         out: list[int] = []
         if not text:
             return out
-        cache, word = self._cache, self.word
+        cache, word = self._cache.get, self.word
         for w in self.words(text):
-            found = cache.get(w)
-            out += found if found is not None else word(w)
+            out += cache(w) or word(w)
         return out
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        cache, word = self._cache, self.word
-        n = 0
-        for w in self.words(text):
-            found = cache.get(w)
-            n += len(found if found is not None else word(w))
-        return n
-
-    def spans(self, text: str) -> tuple[list[int], list[int]]:
-        """The ids and the byte position in UTF-8 after each of them."""
-        ids, ends, at = [], [], 0
-        size = self.bytes_of
-        for w in self.words(text):
-            for i in self.word(w):
-                at += len(size[i])
-                ids.append(i)
-                ends.append(at)
-        return ids, ends
+        cache, word = self._cache.get, self.word
+        return sum(len(cache(w) or word(w)) for w in self.words(text))
+
+    def spans(self, text: str, over: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The byte position in UTF-8 after each token; of each word before merging, where it begins in the text and how
+        many tokens stand before it (both with the text's own end last). None if there are no more than ``over`` tokens."""
+        cache, word = self._cache.get, self.word
+        words = self.words(text)
+        parts = [cache(w) or word(w) for w in words]
+        sizes = list(map(len, parts))
+        n = sum(sizes)
+        if n <= over:
+            return None
+        ids = np.fromiter(chain.from_iterable(parts), np.int64, n)
+        return np.cumsum(self._sizes[ids]), np.cumsum([0, *map(len, words)]), np.cumsum([0, *sizes])
 
     def decode(self, ids) -> str:
         """The text of ``ids``: their vocabulary strings joined."""

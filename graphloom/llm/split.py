@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -28,25 +29,40 @@ _SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+|\r?\n[^\S
 _WORD = regex.compile(r"\s+")
 
 
-def _boundaries(text: str, at: list[int]) -> list[list[int]]:
-    """Token indexes of each level's boundaries; ``at`` holds the character position of each token index, or -1
-    where a token ends inside a character."""
-    index = {p: i for i, p in enumerate(at) if p >= 0}
-    out = []
-    for pattern in (_SECTION, _PARAGRAPH, _SENTENCE, _WORD):
-        found = set()
-        for m in pattern.finditer(text):
-            p = m.end()
-            while p > m.start() and p not in index:
-                p -= 1
-            if p in index:
-                found.add(index[p])
-        out.append(sorted(found))
-    out.append([i for i, p in enumerate(at) if p >= 0])
-    return out
+class Boundaries:
+    """Token indexes of each level's boundaries, found when a level is first asked for: most texts never need words.
 
+    ``at`` holds the character position of each token index, or -1 where a token ends inside a character.
+    """
 
-def _units(levels: list[list[int]], n: int, cap: int) -> list[tuple[int, int]]:
+    def __init__(self, text: str, at: np.ndarray):
+        self.text = text
+        self.tokens = np.flatnonzero(at >= 0)
+        self.index = np.full(len(text) + 1, -1, np.int64)
+        self.index[at[self.tokens]] = self.tokens
+        self.found: dict[int, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(LEVELS)
+
+    def __getitem__(self, level: int) -> list[int]:
+        if level not in self.found:
+            self.found[level] = self.tokens.tolist() if level == len(LEVELS) - 1 else self._matches((_SECTION, _PARAGRAPH, _SENTENCE, _WORD)[level])
+        return self.found[level]
+
+    def _matches(self, pattern) -> list[int]:
+        spans = np.array([m.span() for m in pattern.finditer(self.text)], np.int64).reshape(-1, 2)
+        starts, ends = spans[:, 0], spans[:, 1].copy()
+        while True:  # back to where a token ends, within the match
+            back = (self.index[ends] < 0) & (ends > starts)
+            if not back.any():
+                break
+            ends[back] -= 1
+        found = self.index[ends]
+        return np.unique(found[found >= 0]).tolist()
+
+
+def _units(levels: Boundaries, n: int, cap: int) -> list[tuple[int, int]]:
     """Ends of consecutive units of at most ``cap`` tokens with the level of each end, from coarse to fine."""
     out: list[tuple[int, int]] = []
     stack = [(0, n, -1, 0)]  # begin, end, level of the end, level to split by
@@ -77,6 +93,36 @@ def _units(levels: list[list[int]], n: int, cap: int) -> list[tuple[int, int]]:
     return out
 
 
+class Counts:
+    """Token counts of parts of one text, each as if encoded on its own.
+
+    The words before merging are the same in a part as in the text but near the part's ends: from the first place on
+    where both begin a word, up to the last word that ends before the white space at the part's end. Only what lies
+    outside is encoded again.
+    """
+
+    def __init__(self, text: str, starts: np.ndarray, before: np.ndarray, enc: Encoder):
+        self.text, self.enc, self.starts, self.before = text, enc, starts.tolist(), before.tolist()
+        self.places = dict(zip(self.starts, self.before))
+
+    def count(self, a: int, b: int) -> int:
+        text, enc = self.text, self.enc
+        tail = b
+        while tail > a and text[tail - 1].isspace():
+            tail -= 1
+        tail = self.starts[bisect_left(self.starts, tail) - 1] if tail > a else a
+        at, n = a, 0
+        if at not in self.places:
+            for m in enc.finditer(text, a, b):
+                n += len(enc.word(m.group()))
+                at = m.end()
+                if at in self.places:
+                    break
+        if at >= tail:  # too short for a part in common
+            return enc.count(text[a:b])
+        return n + self.places[tail] - self.places[at] + enc.count(text[tail:b])
+
+
 def split_text(text: str, limit: int, overlap: int, enc: Encoder) -> list[tuple]:
     """Pieces of a text with more than ``limit`` tokens: (token_start, token_end, char_start, char_end, n_tokens, cut_at).
 
@@ -89,24 +135,21 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder) -> list[tuple]
     data = text.encode("utf-8", "surrogatepass")
     if len(data) <= limit:
         return []
-    ids, ends = enc.spans(text)
-    n = len(ids)
-    if n <= limit:
+    found = enc.spans(text, limit)
+    if found is None:
         return []
+    ends, word_starts, before = found
+    n = len(ends)
     overlap = max(0, min(overlap, limit - 1))
-    # character position of every token index
-    if len(data) == len(text):
-        at = [0, *ends]
-    else:
-        chars, b = {0: 0}, 0
-        for i, c in enumerate(text):
-            o = ord(c)
-            b += 1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4
-            chars[b] = i + 1
-        at = [0, *[chars.get(e, -1) for e in ends]]
-    levels = _boundaries(text, at)
+    # character position of every token index, -1 within a character
+    whole = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    chars = np.concatenate([[0], np.cumsum(whole)])
+    places = np.append(0, np.where(np.append(whole, True)[ends], chars[ends], -1))
+    at = places.tolist()
+    counts = Counts(text, word_starts, before, enc)
+    levels = Boundaries(text, places)
     units = _units(levels, n, limit - overlap)
-    any_cut = levels[-1]
+    any_cut = levels[len(LEVELS) - 1]
     pieces, u, begin = [], 0, 0
     while begin < n:
         start = max(0, begin - overlap) if pieces else 0
@@ -117,7 +160,7 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder) -> list[tuple]
         while k + 1 < len(units) and units[k + 1][0] - start <= limit:
             k += 1
         end, mark = units[k]
-        count = enc.count(text[at[start] : at[end]])
+        count = counts.count(at[start], at[end])
         while count > limit:  # encoded on its own, a piece can need more tokens than in the document
             if k > u:
                 k -= 1
@@ -130,7 +173,7 @@ def split_text(text: str, limit: int, overlap: int, enc: Encoder) -> list[tuple]
                     start = any_cut[bisect_right(any_cut, start)]
                 else:
                     break
-            count = enc.count(text[at[start] : at[end]])
+            count = counts.count(at[start], at[end])
         pieces.append((start, end, at[start], at[end], count, "end" if end == n else LEVELS[mark]))
         begin = end
     return pieces
@@ -148,7 +191,7 @@ def split_documents(documents: DataFrame, settings: DataFrame, vocabulary: str =
     chosen = settings.where("doc_kind is not null").groupBy("doc_kind").agg(F.min_by(F.struct("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens")), "setting_id").alias("s"))
     limits = chosen.select("doc_kind", "s.max_tokens", "s.overlap_tokens").where("max_tokens >= 1")
     # no text of at most max_tokens bytes has more tokens
-    rows = spread(join_lookup(documents.select("doc_id", "doc_kind", "text"), limits, ["doc_kind"]).where("octet_length(text) > max_tokens"), "doc_id")
+    rows = spread(join_lookup(documents.select("doc_id", "doc_kind", "text"), limits, ["doc_kind"]).where("octet_length(text) > max_tokens"), "doc_id", of=documents.select("doc_id"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary, folder)

@@ -46,9 +46,15 @@ def test_cache_is_bounded_and_changes_nothing(monkeypatch):
 def test_spans_cover_the_text():
     enc = bpe.encoder()
     for text in TEXTS:
-        ids, ends = enc.spans(text)
-        assert ids == enc.encode(text)
-        assert (ends[-1] if ends else 0) == len(text.encode())
+        found, ids = enc.spans(text), enc.encode(text)
+        if not ids:
+            assert found is None
+            continue
+        ends, starts, before = found
+        assert ends.tolist() == [len(b"".join(enc.bytes_of[i] for i in ids[: k + 1])) for k in range(len(ids))]
+        assert ends[-1] == len(text.encode()) and starts[-1] == len(text) and before[-1] == len(ids)
+        assert all(enc.count(text[:s]) == b or text[:s].endswith((" ", "\n", "\t")) for s, b in zip(starts, before))
+        assert enc.spans(text, len(ids)) is None
 
 
 def test_corpus_encoding(spark):
