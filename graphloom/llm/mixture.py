@@ -16,7 +16,7 @@ from .encode import token_count
 def document_sizes(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, source and n_tokens of the documents whose source has a target; materialised, as encoding is the cost."""
     wanted = targets.where("source is not null").select("source").distinct()
-    mine = spread(join_lookup(documents.select("doc_id", "source", "text"), wanted, ["source"]), "doc_id")
+    mine = spread(join_lookup(documents.select("doc_id", "source", "text"), wanted, ["source"]), "doc_id", of=documents.select("doc_id"))
     return cut(mine.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
 
 
