@@ -103,7 +103,7 @@ def test_entry_points(spark):
         "middleware.ts": "framework-route", "web/vitest.config.ts": "tooling-config", "packages/x/scripts/run.py": "executable-dir", "web/components/pages/Landing.tsx": None, "src/lib/pages/Profile.tsx": None, "web/hooks/use.ts": None, "tools/x.ts": None, "src/app/util.ts": None, "src/index.ts": None,
     }
     rows = [(f"n{i}", "component", "backend", p, {"name": "thing"}) for i, p in enumerate(paths)]
-    more = [("t", "worker", "backend", None, {"name": "w"}), ("m", "component", "backend", None, {"name": "NavApp"}), ("g", "component", "backend", None, {"name": "x", "tags": ["route"]}), ("i", "npm", "external", None, {"name": "x"}), ("q", "queue", "queue", None, {"name": "Domain"}), ("d", "component", "backend", "./src/cli/main.ts", {"name": "x"})]
+    more = [("t", "worker", "backend", None, {"name": "w"}), ("m", "component", "backend", None, {"name": "ShopApp"}), ("g", "component", "backend", None, {"name": "x", "tags": ["route"]}), ("i", "npm", "external", None, {"name": "x"}), ("q", "queue", "queue", None, {"name": "Domain"}), ("d", "component", "backend", "./src/cli/main.ts", {"name": "x"})]
     got = dict(ids(traverse.entry_points(nodes(spark, *rows, *more)), "id", "reason"))
     want = {f"n{i}": r for i, r in enumerate(paths.values()) if r} | {"t": "component-type", "m": "name-pattern", "g": "tag", "i": "infra-layer"}
     assert got == want
